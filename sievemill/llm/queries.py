@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import cosine_join
-from sievemill.session import table
+from sievemill.llm import cosine_join, fm_index, format_dups, lookalike, mixing, packing, shared_spans, token_budget
+from sievemill.session import stored, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,83 @@ def p1_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(per, "id_eval").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.sum("links").alias("n_pairs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(table(spark, sf_dir, "records"))
+
+
+def p2_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.consistent(table(spark, sf_dir, "records"))
+
+
+def p3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(*(table(spark, sf_dir, t) for t in ("records", "mix_targets", "tok_merges")))[0]
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(*(table(spark, sf_dir, t) for t in ("records", "mix_targets", "tok_merges")))[1]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dups.copies(table(spark, sf_dir, "records"))
+
+
+def p5_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dups.counted(table(spark, sf_dir, "records"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "probe_items").select("item_id", F.col("q_native.state").alias("passage"))
+    return fm_index.leaked_spans(table(spark, sf_dir, "documents"), items)
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
+    items = token_budget.encoded(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), tok)
+    return packing.pack(stored(items, "p6-sizes"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).select("spec_name", F.col("id").cast("long").alias("doc_id"), "piece", F.col("n").alias("n_tokens"), "container")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p7_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.removal_spans(_leaks(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.sharing_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_document_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shares(table(spark, sf_dir, "documents"))
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget.deliveries(*(table(spark, sf_dir, t) for t in ("records", "documents", "datasets")))
+
+
+def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
+    return token_budget.budget(token_budget.first_ledger(_deliveries(spark, sf_dir), tok))
+
+
+def p4_updated_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals reached in two steps: the rows of the first two days, then all rows as an update."""
+    tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
+    r, d, s = (table(spark, sf_dir, t) for t in ("records", "documents", "datasets"))
+    early = token_budget.deliveries(r.where("loaded_at < TIMESTAMP '2026-01-03'"), d.where("fetched_at < TIMESTAMP '2026-01-03'"), s)
+    old = stored(token_budget.first_ledger(early, tok), "p4-ledger")
+    new = stored(token_budget.update(old, token_budget.deliveries(r, d, s), tok), "p4-ledger")
+    return token_budget.updated(token_budget.budget(old), token_budget.deltas(old, new))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
