@@ -51,10 +51,13 @@ def clean_keep_lines(text: Column) -> Column:
 def norm_key(text: Column, composed: bool = False) -> Column:
     """The key under which texts count as the same: composed, plain forms of wide and raised characters, case folded, and
     only letters and digits left. composed=True says that the text is composed already. Null gives the empty key."""
-    t = F.lower(F.coalesce(text, F.lit("")) if composed else nfc(F.coalesce(text, F.lit(""))))
+    low = F.lower(F.coalesce(text, F.lit("")) if composed else nfc(F.coalesce(text, F.lit(""))))
+    t = low
     for a, b in LIGATURES.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(t, WIDE, NARROW), r"[^\p{L}\p{N}]+", "")
+    # Few texts hold any of these, and finding that out costs far less than rewriting all of them.
+    rare = low.rlike("[²³¹ß⁰-₉①-⑨⼀-⿕ﬀ-ﬄ０-９Ａ-Ｚａ-ｚ]")
+    return F.regexp_replace(F.when(rare, F.translate(t, WIDE, NARROW)).otherwise(low), r"[^\p{L}\p{N}]+", "")
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -76,14 +79,13 @@ def prettify(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 
 
-def record_units(context: Column, kind: Column, question: Column, view_text: Column) -> Column:
-    """Keys of at least MIN_UNIT characters of the texts in a record: the context, its role-prefixed parts, the texts of the
-    view, and the question where a multiple choice has no context. Expects composed texts."""
+def record_parts(context: Column, kind: Column, question: Column, view_text: Column) -> Column:
+    """The texts in a record: the context, its role-prefixed parts, the texts of the view, and the question where a multiple
+    choice has no context."""
     ctx = F.coalesce(context, F.lit(""))
     parts = F.concat(F.array(ctx), F.split(ctx, rf"(?:^|\n)[{SPACE}]*(?:{ROLES})[{SPACE}]*[:：][{SPACE}]*"), F.coalesce(view_text, F.array().cast("array<string>")))
     parts = F.when((kind == "choice") & (ctx == ""), F.concat(parts, F.array(question))).otherwise(parts)
-    keys = F.transform(parts, lambda p: norm_key(p, composed=True))
-    return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= MIN_UNIT))
+    return F.array_distinct(parts)
 
 
 # The same in DuckDB's SQL, for the queries' checks.

@@ -7,15 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievemill.functions import text as X
+from sievemill.session import spread, stored
 
 
-def with_units(records: DataFrame) -> DataFrame:
-    """records with their units; each text is composed once, all in one pass."""
-    r = records.withColumn("_c", X.nfc("context")).withColumn("_q", X.nfc("question"))
-    # The view's texts travel as one string through the same function; the separator is no letter and keeps them apart.
-    r = r.withColumn("_v", F.split(X.nfc(F.concat_ws("\u0001", "view.text")), "\u0001"))
-    view = F.when(F.col("view.text").isNull(), F.array().cast("array<string>")).otherwise(F.col("_v"))
-    return r.withColumn("units", X.record_units(F.col("_c"), F.col("type"), F.col("_q"), view)).drop("_c", "_q", "_v")
+def _units(records: DataFrame) -> DataFrame:
+    """ord, split and unit: the keys of at least MIN_UNIT characters of the texts in each record. Texts become rows before
+    they are rewritten, so the key is computed column-wise and not inside an array."""
+    parts = X.record_parts(F.col("context"), F.col("type"), F.col("question"), F.col("view.text"))
+    return spread(records.select("ord", "split", "type", "question", "context", "view")).select("ord", "split", F.explode(parts).alias("part")).select("ord", "split", X.norm_key(F.col("part")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
+
+
+def units_of(records: DataFrame) -> DataFrame:
+    """ord and the sorted distinct units of every record, none for those without."""
+    per = _units(records).groupBy("ord").agg(F.array_sort(F.collect_set("unit")).alias("units"))
+    return records.select("ord").join(per, "ord", "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
 
 
 def dedup(records: DataFrame) -> DataFrame:
@@ -43,26 +48,33 @@ def probe_units(items: DataFrame) -> DataFrame:
     return pieces.select("source", X.norm_key(F.col("p")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
 
 
-def held_out_units(records: DataFrame) -> DataFrame:
-    return with_units(records.where("split <> 'train'")).select(F.explode("units").alias("unit")).distinct()
+def unit_rows(records: DataFrame) -> DataFrame:
+    """ord, split and unit, a row per unit, written once for all the checks that read it."""
+    return stored(_units(records), "units")
+
+
+def held_out_units(rows: DataFrame) -> DataFrame:
+    """The distinct units of dev and test among unit_rows."""
+    return rows.where("split <> 'train'").select("unit").distinct()
 
 
-def overlapping(records: DataFrame, units: DataFrame) -> DataFrame:
-    """ord of the records any of whose units is among `units`."""
-    return with_units(records).select("ord", F.explode("units").alias("unit")).join(units.select("unit").distinct(), "unit", "left_semi").select("ord").distinct()
+def overlapping(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """ord of the records any of whose unit_rows is among `units`."""
+    return rows.select("ord", "unit").join(units.select("unit").distinct(), "unit", "left_semi").select("ord").distinct()
 
 
-def contained(records: DataFrame, texts: DataFrame, least: int = X.MIN_CONTAINED) -> DataFrame:
+def contained(rows: DataFrame, texts: DataFrame, least: int = X.MIN_CONTAINED) -> DataFrame:
     """ord of the records a unit of which, of at least `least` characters, stands inside one of texts.doc (keys).
 
-    Of each text every gram of `least` characters is a row; a unit meets the texts that hold its first gram, and the exact test
-    follows. Grams that no unit begins with are dropped before texts are joined."""
-    units = with_units(records).select("ord", F.explode("units").alias("unit")).where(F.length("unit") >= least)
-    first = units.select(F.substring("unit", 1, least).alias("gram"), "unit").distinct()
-    docs = texts.select("doc").where(F.length("doc") >= least).distinct().withColumn("d", F.xxhash64("doc"))
-    grams = docs.select("d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("doc") - least + 1), lambda i: F.substring(F.col("doc"), i, least)))).alias("gram"))
-    hits = first.join(grams, "gram").join(docs, "d").where(F.contains("doc", "unit")).select("unit").distinct()
-    return units.join(hits, "unit", "left_semi").select("ord").distinct()
+    Of each text every gram of `least` characters is a row; a unit meets the texts that hold its first gram and its last one, and
+    the exact test follows. Each gram is reduced to 64 bits before the join; the test settles the rest."""
+    units = rows.select("unit").where(F.length("unit") >= least).distinct()
+    units = units.withColumn("first", F.xxhash64(F.substring("unit", 1, least))).withColumn("last", F.xxhash64(F.expr(f"right(unit, {least})")))
+    docs = stored(spread(texts).select("doc").where(F.length("doc") >= least).distinct().withColumn("d", F.monotonically_increasing_id()), "texts")
+    grams = docs.select("d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("doc") - least + 1), lambda i: F.xxhash64(F.substring(F.col("doc"), i, least))))).alias("gram"))
+    both = units.join(grams.withColumnRenamed("gram", "first"), "first").join(grams.withColumnRenamed("gram", "last"), ["last", "d"])
+    hits = both.join(docs, "d").where(F.contains("doc", "unit")).select("unit").distinct()
+    return rows.select("ord", "unit").join(hits, "unit", "left_semi").select("ord").distinct()
 
 
 def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame) -> DataFrame:
@@ -71,13 +83,13 @@ def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame) ->
     them or among the probes' (overlap), or for one inside a context of a source in eval_only.source (inside); dev and
     test records go for a unit among the probes' (probe)."""
     probe = probe_units(items).select("unit").distinct()
-    kept = dedup_hashed(records)
-    train, held = kept.where("split = 'train'"), kept.where("split <> 'train'")
+    rows = unit_rows(records)
+    train, held = rows.where("split = 'train'"), rows.where("split <> 'train'")
     only = records.join(F.broadcast(eval_only.select("source").distinct()), "source", "left_semi")  # eval_only: a column of the dataset list
     texts = only.where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
     marks = [
-        kept.select("ord").withColumn("first", F.lit(True)),
-        overlapping(train, held_out_units(records).unionByName(probe)).withColumn("overlap", F.lit(True)),
+        dedup_hashed(records).select("ord").withColumn("first", F.lit(True)),
+        overlapping(train, held_out_units(rows).unionByName(probe)).withColumn("overlap", F.lit(True)),
         contained(train, texts).withColumn("inside", F.lit(True)),
         overlapping(held, probe).withColumn("probe", F.lit(True)),
     ]

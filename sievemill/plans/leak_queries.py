@@ -35,23 +35,24 @@ def probe_unit_counts(t):
 
 @query(f"WITH {_U}, {_P} SELECT count(*) AS n FROM (SELECT unit FROM u WHERE split <> 'train' UNION SELECT unit FROM p)")
 def eval_unit_set(t):
-    return L.held_out_units(t.records).union(L.probe_units(t.probe_items).select("unit")).distinct().agg(F.count("*").alias("n"))
+    return L.held_out_units(L.unit_rows(t.records)).union(L.probe_units(t.probe_items).select("unit")).distinct().agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_U} SELECT DISTINCT ord FROM u WHERE split = 'train' AND unit IN (SELECT unit FROM u WHERE split <> 'train')")
 def leak_overlap(t):
-    return L.overlapping(t.records.where("split = 'train'"), L.held_out_units(t.records))
+    rows = L.unit_rows(t.records)
+    return L.overlapping(rows.where("split = 'train'"), L.held_out_units(rows))
 
 
 @query(f"WITH {_U}, {_P} SELECT DISTINCT ord FROM u WHERE split <> 'train' AND unit IN (SELECT unit FROM p)")
 def leak_probe_overlap(t):
-    return L.overlapping(t.records.where("split <> 'train'"), L.probe_units(t.probe_items))
+    return L.overlapping(L.unit_rows(t.records).where("split <> 'train'"), L.probe_units(t.probe_items))
 
 
 @query(f"WITH {_U}, {_T}, {_GRAM}, {_IN} SELECT ord FROM inside")
 def leak_containment(t):
     texts = t.records.join(F.broadcast(_eval_only(t)), "source", "left_semi").where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
-    return L.contained(t.records.where("split = 'train'"), texts)
+    return L.contained(L.unit_rows(t.records.where("split = 'train'")), texts)
 
 
 _REASON = f"""WITH {_U}, {_P}, {_T}, {_GRAM}, {_F}, {_IN},

@@ -45,9 +45,9 @@ def text_prettify(t):
 
 @query(f"SELECT ord, list_sort({X.sql_units('nfc_normalize(context)', 'type', 'nfc_normalize(question)', 'list_transform(view.text, lambda v: nfc_normalize(v))')}) AS units FROM records")
 def text_record_units(t):
-    from sievemill.operators.leakage import with_units
+    from sievemill.operators.leakage import units_of
 
-    return with_units(t.records).select("ord", F.array_sort("units").alias("units"))
+    return units_of(t.records)
 
 
 LANGS = {"zh": "Chinese", "en": "English"}
