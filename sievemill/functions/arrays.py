@@ -1,4 +1,7 @@
-"""Functions over probability and label arrays."""
+"""Functions over probability and label arrays.
+
+Spark looks up names inside an array function's body among the aliases of the same select first. So give a result that goes
+into one select with others made from it a name that none of their inputs has, or use withColumn step by step."""
 
 from __future__ import annotations
 
@@ -64,7 +67,7 @@ def untempered(p: Column, t: Column) -> Column:
 
 def level(value: Column, count: Column, levels: int = 5) -> Column:
     """Level of a mean rating in [0, 1]; null under two ratings."""
-    return F.when(count >= 2, F.least(F.lit(levels - 1), F.floor(value * levels).cast("int")))
+    return F.when(value.isNotNull() & (count >= 2), F.least(F.lit(levels - 1), F.floor(value * levels).cast("int")))
 
 
 def unique(options: Column) -> Column:
