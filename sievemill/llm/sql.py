@@ -1,5 +1,53 @@
-"""SQL for the queries of this subpackage that SQL can express over whole tables."""
+"""SQL for the queries of this subpackage that SQL can express over whole tables: by brute force, without the operators."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from sievemill.llm.lookalike import form
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _visible(x: str) -> str:
+    """What shows of a text: every code point of the first plane by a rule, then composed."""
+    one, many, gone = [], [], []
+    for c in (c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000):
+        v = form(chr(c))
+        if v == "":
+            gone.append(chr(c))
+        elif v != chr(c) and len(v) == 1:
+            one.append((chr(c), v))
+        elif v != chr(c) and not any(0x300 <= ord(y) < 0x370 for y in v):
+            many.append((chr(c), v))
+    # Of several plain characters only these forms are in use; all others would make the text very long.
+    many = [(a, b) for a, b in many if a in "ﬀﬁﬂﬃﬄﬅﬆ…‥"]
+    t = f"translate(replace({x}, chr(9), ' '), {_quoted(''.join(a for a, _ in one))} || {_quoted(''.join(gone))}, {_quoted(''.join(b for _, b in one))})"
+    for a, b in many:
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"nfc_normalize({t})"
+
+
+_LETTERS = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+_FORMS = f"""WITH r AS (SELECT DISTINCT id, source, split, question, options, context FROM records WHERE context IS NOT NULL),
+j AS (SELECT id, string_agg(path || '=' || v, chr(1) ORDER BY path) AS form FROM (SELECT r.id, t.fullkey AS path, CASE t.type WHEN 'VARCHAR' THEN 's' || {_LETTERS.format("t.atom->>'$'")} ELSE coalesce(TRY_CAST(t.atom AS DOUBLE)::VARCHAR, t.atom::VARCHAR) END AS v
+FROM r, json_tree(r.context) t WHERE r.context LIKE '{{%}}' AND json_valid(r.context) AND t.atom IS NOT NULL) GROUP BY id),
+k AS (SELECT r.*, coalesce('{{' || j.form, {_LETTERS.format("context")}) AS form FROM r LEFT JOIN j USING (id)),
+g AS (SELECT id, min(id) OVER w AS keep_id, count(*) OVER w AS n FROM k WHERE length({_LETTERS.format("context")}) >= 40 WINDOW w AS (PARTITION BY source, split, question, options, form))"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"{_FORMS} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
+    "p5_copy_counts": f"{_FORMS} SELECT DISTINCT keep_id, n AS n_copies FROM g WHERE n > 1",
+    "p2_found": f"""WITH r AS (SELECT DISTINCT id, split, source, context, options FROM records WHERE context IS NOT NULL OR options IS NOT NULL),
+t AS (SELECT DISTINCT x FROM (SELECT context AS x FROM r UNION ALL SELECT unnest(options) FROM r) WHERE x IS NOT NULL), v AS MATERIALIZED (SELECT x, {_visible("x")} AS y FROM t),
+o AS (SELECT id, string_agg(coalesce(v.y, chr(1)), chr(2) ORDER BY i) AS look FROM (SELECT id, unnest(options) AS x, generate_subscripts(options, 1) AS i FROM r) LEFT JOIN v USING (x) GROUP BY id),
+k AS MATERIALIZED (SELECT r.*, v.y AS c, o.look AS p FROM r LEFT JOIN v ON v.x = r.context LEFT JOIN o USING (id))
+SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM k a JOIN k b ON a.split = b.split AND a.id < b.id AND a.source <> b.source AND a.c IS NOT DISTINCT FROM b.c AND a.p IS NOT DISTINCT FROM b.p AND (a.options IS NULL) = (b.options IS NULL)
+AND (a.context IS DISTINCT FROM b.context OR a.options IS DISTINCT FROM b.options)""",
+    "p7_found": f"""WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, {_LETTERS.format("text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_LETTERS.format("q_native.state")} AS p FROM probe_items WHERE q_native.state IS NOT NULL),
+w AS (SELECT DISTINCT item_id, substr(p, j, length(p) // 2 + 1) AS piece FROM (SELECT item_id, p, unnest(range(1, length(p) - length(p) // 2 + 1)) AS j FROM i WHERE p <> ''))
+SELECT DISTINCT item_id, doc_id FROM w JOIN d ON contains(d.t, w.piece)""",
+    "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), g AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id""",
+}
