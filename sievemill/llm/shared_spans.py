@@ -7,6 +7,10 @@ From each beginning the run of the following sentences is hashed over RUN = LEAS
 joined over all documents. Any two texts with a stretch of LEAST characters in common share a run, and pairs that share one
 are compared character by character, which gives their maximal common stretches.
 
+A stock phrase a little shorter than LEAST may give a third of all texts the same run. Runs are therefore counted first, in a
+table of hash slots, and those of more than HOT texts are refined to the windows of LEAST characters around them, so that only
+texts that do share a stretch are paired.
+
 Equal texts are one class; its members are spread at the end. A run counts once per text. Null texts and those under
 LEAST characters take part in nothing. Repeated rows of a document count once.
 """
@@ -27,6 +31,7 @@ from sievemill.session import stored
 LEAST, REACH, GRAM = 200, 32, 8
 # The characters that end a sentence.
 ENDS = ".!?。！？；;\n"
+SLOTS, HOT = 1 << 18, 1000
 SLICE = 1 << 18  #: code points handled at once, for the processor's cache
 
 
@@ -60,29 +65,66 @@ def beginnings(a: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (reach == key) & (reach > 0)
 
 
-def _runs(least: int):
+def _slices(batch: pa.RecordBatch, size: int):
+    """Parts of a batch: code points, starts, lengths, ids, the row of each run's beginning, its place and its hash."""
+    texts, cid, at = batch["text"].to_pylist(), batch["cid"].to_numpy(), 0
+    while at < len(texts):
+        stop, total = at, 0
+        while stop < len(texts) and (stop == at or total + len(texts[stop]) <= SLICE):
+            total += len(texts[stop])
+            stop += 1
+        a, start, n = ragged(texts[at:stop])
+        row = np.repeat(np.arange(stop - at), n)
+        h = mix(windows(a, size))
+        keep = np.flatnonzero(beginnings(a, start, n) & (np.arange(len(a)) + size <= (start + n)[row]))
+        yield a, start, n, cid[at:stop], row[keep], keep, h[keep]
+        at = stop
+
+
+def _distinct(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([h.view(np.int64), row], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+
+
+def _count(least: int):
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for *_, row, _, h in _slices(b, least - REACH):
+                total += np.bincount(_distinct(h, row)[:, 0].view(np.uint64).astype(np.uint64) & np.uint64(SLOTS - 1), minlength=SLOTS) if len(h) else 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    return run
+
+
+def _runs(least: int, hot=None):
+    """Run and cid of every run. A run in a hot slot gives way to the hashes of the windows of `least` characters that reach
+    it: of two texts with that run only those meet that share such a window."""
     size = least - REACH
 
     def run(batches):
         for b in batches:
-            texts, cid = b["text"].to_pylist(), b["cid"].to_numpy()
-            at = 0
-            while at < len(texts):
-                stop, total = at, 0
-                while stop < len(texts) and (stop == at or total + len(texts[stop]) <= SLICE):
-                    total += len(texts[stop])
-                    stop += 1
-                a, start, n = ragged(texts[at:stop])
-                row = np.repeat(np.arange(stop - at), n)
-                h = mix(windows(a, size))
-                keep = np.flatnonzero(beginnings(a, start, n) & (np.arange(len(a)) + size <= (start + n)[row]))
-                pair = np.unique(np.stack([h[keep].view(np.int64), row[keep]], 1), axis=0) if len(keep) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(cid[at:stop][pair[:, 1]], pa.int64())], names=["run", "cid"])
-                at = stop
+            for a, start, n, cid, row, at, h in _slices(b, size):
+                if hot is not None and len(h) and (often := hot.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]).any():
+                    wide = mix(windows(a, least) ^ np.uint64(0x5851F42D4C957F2D))
+                    places = (at[often][:, None] - np.arange(REACH + 1)[None]).ravel()
+                    of = np.repeat(row[often], REACH + 1)
+                    fits = (places >= start[of]) & (places + least <= (start + n)[of])
+                    h, row = np.concatenate([h[~often], wide[places[fits]]]), np.concatenate([row[~often], of[fits]])
+                pair = _distinct(h, row)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(cid[pair[:, 1]], pa.int64())], names=["run", "cid"])
 
     return run
 
 
+def _hot_slots(texts: DataFrame, least: int):
+    """Which of SLOTS hash slots hold more than HOT runs and four times their mean; no run of more texts than that is missed."""
+    counts = texts.mapInArrow(_count(least), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    n = np.zeros(SLOTS, np.int64)
+    n[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    return n > max(HOT, 4 * int(n.mean()))
+
+
 def stretches(x: str, y: str, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Start in x, start in y and length of the maximal common stretches of at least `least` characters. Of a stretch of x
     that stands in y more than once, all places count."""
@@ -132,7 +174,9 @@ def shared(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     names = keyed.groupBy("key").agg(F.min("doc_id").alias("cid"))
     members = stored(keyed.join(names, "key").select("cid", "doc_id").distinct(), "p8-members")
     texts = stored(rows.join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "text"), "p8-texts")
-    runs = texts.mapInArrow(_runs(least), "run long, cid long")
+    hot = _hot_slots(texts, least)
+    often = texts.sparkSession.sparkContext.broadcast(hot) if hot.any() else None
+    runs = texts.mapInArrow(_runs(least, often), "run long, cid long")
     a, b = runs.withColumnRenamed("cid", "cid_a"), runs.withColumnRenamed("cid", "cid_b")
     pairs = a.join(b, "run").where("cid_a < cid_b").select("cid_a", "cid_b").distinct()
     ta, tb = (texts.select(F.col("cid").alias(f"cid_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")

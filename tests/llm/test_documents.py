@@ -94,6 +94,20 @@ def test_sharing_pairs_match_brute_force(spark, alphabet):
     assert len(got) == len(set(got)) and set(got) == brute(texts, 200)
 
 
+@pytest.mark.parametrize("stock", [185, 199, 200, 230])
+def test_hot_runs_are_refined(spark, monkeypatch, stock):
+    monkeypatch.setattr(shared_spans, "HOT", 5)
+    rnd = random.Random(stock)
+    make = lambda n: "".join(rnd.choice("abcdefgh .") for _ in range(n))
+    phrase = make(stock)
+    texts = {i: make(rnd.randint(0, 90)) + phrase + make(rnd.randint(0, 90)) for i in range(30)}
+    texts |= {30 + i: make(20) + phrase + texts[i][-60:] for i in range(10)}
+    df = docs(spark, list(texts.items()))
+    assert stock < 199 or shared_spans._hot_slots(df.selectExpr("doc_id AS cid", "text"), 200).any()
+    got = {tuple(r) for r in shared_spans.sharing_pairs(df).collect()}
+    assert got == brute(texts, 200) and (stock < 200 or len(got) == 40 * 39 // 2)
+
+
 def test_shares(spark):
     rnd = random.Random(9)
     a, b, c = ("".join(rnd.choice("abcdefgh .") for _ in range(300)) for _ in range(3))
