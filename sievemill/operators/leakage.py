@@ -32,9 +32,13 @@ def dedup(records: DataFrame) -> DataFrame:
 def dedup_hashed(records: DataFrame) -> DataFrame:
     """The same by one hash aggregation on a digest of the key: a hot key is combined before the shuffle and no group is
     sorted in one task."""
+    return records.join(first_ords(records), "ord", "left_semi")
+
+
+def first_ords(records: DataFrame) -> DataFrame:
+    """ord of the records that dedup keeps."""
     key = F.sha2(F.to_json(F.struct("source", "split", "question", F.coalesce("context", F.lit("")).alias("c"), "options")), 256)
-    first = records.select(key.alias("k"), "ord").groupBy("k").agg(F.min("ord").alias("ord"))
-    return records.join(first.select("ord"), "ord", "left_semi")
+    return records.select(key.alias("k"), "ord").groupBy("k").agg(F.min("ord").alias("ord")).select("ord")
 
 
 def duplicate_ids(records: DataFrame) -> DataFrame:
@@ -88,13 +92,16 @@ def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame) ->
     only = records.join(F.broadcast(eval_only.select("source").distinct()), "source", "left_semi")  # eval_only: a column of the dataset list
     texts = only.where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
     marks = [
-        dedup_hashed(records).select("ord").withColumn("first", F.lit(True)),
-        overlapping(train, held_out_units(rows).unionByName(probe)).withColumn("overlap", F.lit(True)),
-        contained(train, texts).withColumn("inside", F.lit(True)),
-        overlapping(held, probe).withColumn("probe", F.lit(True)),
+        (first_ords(records), "first"),
+        (overlapping(train, held_out_units(rows).unionByName(probe)), "overlap"),
+        (contained(train, texts), "inside"),
+        (overlapping(held, probe), "probe"),
     ]
-    out = records
-    for m in marks:
-        out = out.join(m, "ord", "left")
-    reason = F.when(F.col("first").isNull(), "duplicate").when(F.col("overlap"), "overlap").when(F.col("inside"), "inside").when(F.col("probe"), "probe").otherwise("kept")
-    return out.withColumn("reason", reason).drop("first", "overlap", "inside", "probe")
+    # The marks meet in one narrow aggregation, so the records themselves are joined once.
+    every = marks[0][0].withColumn("mark", F.lit(marks[0][1]))
+    for m, name in marks[1:]:
+        every = every.unionByName(m.withColumn("mark", F.lit(name)))
+    flags = every.groupBy("ord").agg(*(F.max(F.col("mark") == name).alias(f"_{name}") for _, name in marks))
+    out = records.join(flags, "ord", "left")
+    reason = F.when(~F.coalesce("_first", F.lit(False)), "duplicate").when(F.col("_overlap"), "overlap").when(F.col("_inside"), "inside").when(F.col("_probe"), "probe").otherwise("kept")
+    return out.withColumn("reason", reason).drop(*(f"_{name}" for _, name in marks))
