@@ -78,10 +78,10 @@ def slices_from_id(id_: Column, qtype: Column) -> Column:
     src = F.regexp_extract(base, "^([a-z0-9_]+)/(train|dev|test)/", 1)
     lang = F.when(F.contains(src, F.lit("_zh")), "zh").otherwise("en")
     say = lambda head, *parts: F.concat(F.lit(head), *parts)
-    laya = F.array(F.lit("test:laya:ALL"), say("test:laya:lang:", lang), say("test:laya:source:", src), say("test:laya:qtype:", qtype))
+    fixed = F.array(F.lit("test:fixed:ALL"), say("test:fixed:lang:", lang), say("test:fixed:source:", src), say("test:fixed:qtype:", qtype))
     test = F.array(F.lit("test:ALL"), say("test:lang:", lang), say("test:source:", src), say("test:qtype:", qtype), say("test:lang:", lang, F.lit("/qtype:"), qtype))
     other = F.array(F.lit("probe:other"), say("probe:other/qtype:", qtype))
-    return F.when(src == "", other).when(variant == "laya", laya).otherwise(test)
+    return F.when(src == "", other).when(variant == "fixed", fixed).otherwise(test)
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -240,8 +240,8 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def slice_rank(s: Column) -> Column:
     """Held-out aggregates first, then the fixed rendering, probes, single sources."""
-    held = s.startswith("test:") & ~s.startswith("test:source:") & ~s.startswith("test:src:") & ~s.startswith("test:laya:")
-    return F.when(held, 1).when(s.startswith("test:laya:"), 2).when(s.startswith("probe:"), 3).otherwise(4)
+    held = s.startswith("test:") & ~s.startswith("test:source:") & ~s.startswith("test:src:") & ~s.startswith("test:fixed:")
+    return F.when(held, 1).when(s.startswith("test:fixed:"), 2).when(s.startswith("probe:"), 3).otherwise(4)
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -273,7 +273,7 @@ def softmax_of_logits(t):
     return _logits(t).select("id", F.transform(A.softmax(F.col("z")), lambda x: F.round(x, 6)).alias("probs"))
 
 
-@query("SELECT DISTINCT slice, CASE WHEN slice LIKE 'test:laya:%' THEN 2 WHEN slice LIKE 'test:source:%' OR slice LIKE 'test:src:%' THEN 4 WHEN slice LIKE 'test:%' THEN 1 WHEN slice LIKE 'probe:%' THEN 3 ELSE 4 END AS rank FROM (SELECT unnest(slices) AS slice FROM predictions)")
+@query("SELECT DISTINCT slice, CASE WHEN slice LIKE 'test:fixed:%' THEN 2 WHEN slice LIKE 'test:source:%' OR slice LIKE 'test:src:%' THEN 4 WHEN slice LIKE 'test:%' THEN 1 WHEN slice LIKE 'probe:%' THEN 3 ELSE 4 END AS rank FROM (SELECT unnest(slices) AS slice FROM predictions)")
 def slice_order(t):
     s = t.predictions.select(F.explode("slices").alias("slice")).distinct()
     return s.select("slice", M.slice_rank(F.col("slice")).alias("rank"))
@@ -286,13 +286,13 @@ def render_hash(t):
     return r.select("id", F.substring(F.sha2(F.concat("question", F.lit("\n"), F.coalesce("context", F.lit(""))), 256), 1, 12).alias("render"))
 
 
-@query(f"""WITH {_S}, f AS (SELECT * REPLACE (list_reverse_sort(probs) AS probs) FROM d WHERE id LIKE '%/test/%'), {_scored("l", "f")} SELECT 'test:laya:' || s.qtype AS slice, count(*) AS n, round(avg(l.correct - s.correct), 10) AS d_acc FROM l JOIN s USING (id) GROUP BY s.qtype""")
+@query(f"""WITH {_S}, f AS (SELECT * REPLACE (list_reverse_sort(probs) AS probs) FROM d WHERE id LIKE '%/test/%'), {_scored("l", "f")} SELECT 'test:fixed:' || s.qtype AS slice, count(*) AS n, round(avg(l.correct - s.correct), 10) AS d_acc FROM l JOIN s USING (id) GROUP BY s.qtype""")
 def rendering_against_plain(t):
     """The same items under the fixed rendering and plain, matched by the id without its mark."""
     plain = _rows(t)
-    marked = M.scored(M.unique_ids(t.predictions).where("id LIKE '%/test/%'").withColumn("probs", F.reverse(F.array_sort("probs"))).withColumn("id", F.concat("id", F.lit("#laya"))))
-    both = marked.withColumn("id", F.regexp_replace("id", "#laya$", "")).select("id", F.col("correct").alias("fixed")).join(plain.select("id", "qtype", "correct"), "id")
-    return both.groupBy(F.concat(F.lit("test:laya:"), "qtype").alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("fixed") - F.col("correct")), 10).alias("d_acc"))
+    marked = M.scored(M.unique_ids(t.predictions).where("id LIKE '%/test/%'").withColumn("probs", F.reverse(F.array_sort("probs"))).withColumn("id", F.concat("id", F.lit("#fixed"))))
+    both = marked.withColumn("id", F.regexp_replace("id", "#fixed$", "")).select("id", F.col("correct").alias("fixed")).join(plain.select("id", "qtype", "correct"), "id")
+    return both.groupBy(F.concat(F.lit("test:fixed:"), "qtype").alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("fixed") - F.col("correct")), 10).alias("d_acc"))
 
 
 @query(f"""WITH {_S}, e AS (SELECT s.*, unnest(list_distinct(slices)) AS slice FROM s) SELECT slice, count(*) AS n, round(avg(k), 10) AS mean_options, round(sum(conf) / sum(1.0::DOUBLE / k), 8) AS lift FROM e GROUP BY slice""")

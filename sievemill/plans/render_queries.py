@@ -70,7 +70,7 @@ def render_epochs(t):
     return R.epochs(t.records.where("split = 'train'").select("id").distinct(), 3)
 
 
-@query(f"""WITH {_rendered("(SELECT * FROM records WHERE split = 'test')", 1.0, 0.0)} SELECT id || '#laya' AS id, source, type, label AS gold,
+@query(f"""WITH {_rendered("(SELECT * FROM records WHERE split = 'test')", 1.0, 0.0)} SELECT id || '#fixed' AS id, source, type, label AS gold,
 left(sha256(concat_ws(chr(10), instruction, array_to_string(fields, chr(9)), array_to_string(texts, chr(9)), coalesce(array_to_string(written_options, chr(9)), ''))), 12) AS render FROM r WHERE rendered""")
 def render_fixed(t):
     return R.fixed(_first(t))
