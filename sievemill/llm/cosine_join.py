@@ -1,15 +1,16 @@
-"""Weighted cosine join of record texts between splits.
+"""Join of record texts between splits by edit distance, with the weighted cosine of what it finds.
 
-A text becomes a vector over character grams (12 characters, or 6 where the gram begins with a CJK character) of its
-letters and digits. A gram enters the vector if its hash lies under a rate that falls with the length of the text, so
-that long texts have about TERMS terms and similar texts keep the same ones. Its weight is the cubed logarithm of the
-inverse document frequency; frequencies are counted over all texts in a table of 2^18 hash slots.
+The search loses no pair. The letters and digits of a training text are cut into disjoint segments of 8, or of as many as give
+one segment more than the most edits that a pair of its length may have; that is 7 for some texts under 64. An edit
+touches one segment at most, so a pair of k edits leaves all segments but k whole, and each of these stands in the held-out text, where
+the lengths before it and after it differ by k in all at most. Held-out texts therefore give all their windows of those sizes.
+Both meet in buckets by hash; rows carry a text's counts of characters in 32 groups, which k edits change by 2k at most in all. What passes
+length, position and counts is summed per pair over the buckets, and pairs with too few whole segments go. The exact edit distance follows.
 
-Inverted lists hold, of each vector, the heaviest terms up to the point where the norm of the rest is under two thirds of
-the threshold (residual-norm pruning); what is left out are the frequent grams. Two texts whose cosine reaches the threshold
-share a listed term, and their product over listed terms is at least a third of the threshold, as the rest adds less than
-two thirds. Every pair that reaches that third goes on, whether or not its cosine reaches the threshold. Lists are joined between the two sides only where length and position allow the edit distance asked for.
-The exact edit distance of the survivors follows, and the exact dot product of those it keeps.
+The cosine is over vectors of character grams (12 characters, or 6 where the gram begins with a CJK character). A gram enters
+if its hash lies under a rate that falls with the length of the text, so that long texts have about TERMS terms and similar texts
+keep the same ones. Its weight is the cubed logarithm of the inverse document frequency; frequencies are counted over all
+texts in a table of 2^18 hash slots. It measures the pairs found and decides on none.
 
 Equal texts of a side are one class; pairs of classes are spread to pairs of records at the end.
 
@@ -19,6 +20,7 @@ Nulls: a record without id, split or context takes no part. Empty tables give an
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,12 @@ from sievemill.session import stored
 SLOTS = 1 << 18
 TERMS = 24
 WIDE, NARROW = 12, 6
-THRESHOLD = 0.15
-FIELD = (1 << 23) - 1  #: lengths and positions beyond are taken for this, which no filter then tells apart
-REST = 2 / 3  #: of the threshold may be the norm of what a list leaves out
+SEGMENT = 8
+GROUPS = 32  #: of characters, by code point, counted modulo 16
+FIELD = (1 << 16) - 1  #: positions beyond are taken for this, and texts as long aren't told apart by them
+ENTRY = np.dtype([("gram", "<u4"), ("pos", "<u2")])
+ROOM = 1 << 21  #: letters, or matches, that are looked at together
+MARKS = 1 << 22  #: bits of the table of texts that are in a pair
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -112,26 +117,148 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs), pa.int64())], names=["slot", "n"])
 
 
-def _lists(counts, total: int, threshold: float):
+def segment_size(n: np.ndarray, tenth: int) -> np.ndarray:
+    """Of a text of n letters, so that it has more segments than the longest text within reach allows edits."""
+    return np.maximum(np.minimum(SEGMENT, n // ((n + n // (tenth - 1)) // tenth + 1)), 1)
+
+
+def segments(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and hash of the disjoint segments of each text."""
+    a, start, n = ragged(texts)
+    size = segment_size(n, tenth)
+    count = n // size
+    row = np.repeat(np.arange(len(texts)), count)
+    pos = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size[row]
+    h = np.zeros(len(row), np.uint64)
+    for q in np.unique(size):
+        at = size[row] == q
+        h[at] = mix(windows(a, int(q))[(start[row] + pos)[at]] + np.uint64(q))
+    return row, pos, h
+
+
+def all_windows(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of every window that may be a segment of a text within reach."""
+    a, start, n = ragged(texts)
+    top = n + n // (tenth - 1)
+    size = segment_size(np.arange(top.max() + 1), tenth)
+    row = np.repeat(np.arange(len(texts)), n)
+    pos = np.arange(len(a)) - start[row]
+    out = []
+    for q in np.unique(size[(n - n // tenth).min() :]):
+        below = np.append(0, np.cumsum(size == q))
+        used = below[top + 1] > below[n - n // tenth]
+        keep = used[row] & (pos + q <= n[row])
+        out.append((row[keep], pos[keep], mix(windows(a, int(q))[keep] + np.uint64(q))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values one after the other in data."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _content(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the length of each value."""
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
+            sizes.append(np.diff(at).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def _spread_grams(grams, labels: list[int], tenth: int):
+    """One row per text and bucket, with the text's grams there."""
+    buckets, label = len(labels), np.array(labels, np.int32)
+
     def run(batches):
         for b in batches:
-            texts = b["norm"].to_pylist()
-            row, pos, h = vectors(texts)
-            if not len(row):
-                continue
-            w = weigh(h, counts.value, total)
-            sq = np.bincount(row, w * w, b.num_rows)
-            order = np.lexsort((h, w, row))
-            row, pos, h, w = row[order], pos[order], h[order], w[order]
-            run_sq = np.cumsum(w * w)
-            first = np.searchsorted(row, np.arange(b.num_rows))
-            base = np.append(0.0, run_sq)[first]
-            keep = run_sq - base[row] >= (threshold * REST) ** 2 * sq[row] * (1 - 1e-9)
-            row, pos, h = row[keep], pos[keep], h[keep]
-            w = w[keep] / np.sqrt(sq[row])
-            n = np.fromiter(map(len, texts), np.int64, len(texts))
-            packed = np.minimum(n[row], FIELD) << 40 | np.minimum(pos, FIELD) << 16 | np.ceil(w * 0xFFFF).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(16)).view(np.int64), pa.int64()), b["cid"].take(pa.array(row)), pa.array(packed, pa.int64())], names=["gram", "cid", "packed"])
+            every, cid = b["norm"].to_pylist(), b["cid"].to_numpy()
+            part = np.cumsum(np.fromiter(map(len, every), np.int64, len(every))) // ROOM
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                texts = [every[i] for i in at]
+                a, _, n = ragged(texts)
+                counts = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + a % GROUPS, minlength=len(n) * GROUPS).astype(np.uint8).reshape(-1, GROUPS)
+                counts = counts[:, ::2] << 4 | counts[:, 1::2] & 15
+                row, pos, h = grams(texts, tenth)
+                key = row * buckets + ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                entry = np.empty(len(order), ENTRY)
+                entry["gram"], entry["pos"] = h[order] & np.uint64(0xFFFFFFFF), np.minimum(pos, FIELD)[order]
+                key, size = np.unique(key, return_counts=True)
+                r = key // buckets
+                ends = np.arange(1, len(key) + 1) * (GROUPS // 2)
+                columns = [pa.array(label[key % buckets], pa.int32()), pa.array(cid[at][r], pa.int64()), pa.array(n[r], pa.int32()), _binary(counts[r], ends), _binary(entry, np.cumsum(size) * ENTRY.itemsize)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "cid", "n", "counts", "grams"])
+
+    return run
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Id, length and counts (each times 16, so that they wrap as bytes do) of each row, and of each entry the row and, in one number, gram and position."""
+    data, size = _content(t["grams"])
+    entry, packed = data.view(ENTRY), _content(t["counts"])[0].reshape(-1, GROUPS // 2)
+    counts = np.concatenate([packed & 0xF0, packed << 4], axis=1)
+    return t["cid"].to_numpy(), t["n"].to_numpy().astype(np.int64), counts, np.repeat(np.arange(t.num_rows), size // ENTRY.itemsize), entry["gram"].astype(np.uint64) << np.uint64(16) | entry["pos"]
+
+
+_LANES = np.uint64(0x00FF00FF00FF00FF)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far counts lie apart in all, at least: they are known modulo 16."""
+    d = a - b
+    v = np.minimum(d, np.uint8(0) - d).view(np.uint64)
+    v = (v & _LANES) + (v >> np.uint64(8) & _LANES)
+    v = v[:, 0] + v[:, 1] + v[:, 2] + v[:, 3]
+    return (v * np.uint64(0x0001000100010001) >> np.uint64(52)).astype(np.int64)
+
+
+def _meet(tenth: int):
+    """Pairs of one bucket, with the number of segments they share there and the least they must share in all."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        id_a, n_a, counts_a, row_a, entry_a = _unpacked(left)
+        id_b, n_b, counts_b, row_b, entry_b = _unpacked(right)
+        found = [np.zeros(0, np.int64)]
+        # Held-out entries by band of length, then by hash and position, so that one range holds what a segment may meet.
+        band = np.floor(np.log(np.maximum(n_a, 1)) / np.log(1.1)).astype(np.int64)
+        low, high = (np.floor(np.log(np.maximum(x, 1)) / np.log(1.1)).astype(np.int64) for x in (n_b - n_b // tenth - 1, n_b + n_b // (tenth - 1) + 1))
+        reach = (n_b + n_b // (tenth - 1)) // tenth
+        order = np.lexsort((entry_a, band[row_a]))
+        row_a, entry_a = row_a[order], entry_a[order]
+        bands, first = np.unique(band[row_a], return_index=True)
+        pos_b = (entry_b & np.uint64(FIELD)).astype(np.int64)
+        gram_b = entry_b - pos_b.astype(np.uint64)
+        for g, x, y in zip(bands, first, [*first[1:], len(row_a)]):
+            held = entry_a[x:y]
+            at = np.flatnonzero((low[row_b] <= g) & (g <= high[row_b]))
+            k = reach[row_b[at]]
+            lo = np.searchsorted(held, gram_b[at] + np.maximum(pos_b[at] - k, 0).astype(np.uint64))
+            c = np.searchsorted(held, gram_b[at] + np.minimum(pos_b[at] + k, FIELD).astype(np.uint64), "right") - lo
+            at, lo, c = at[c > 0], lo[c > 0], c[c > 0]
+            part = np.cumsum(c) // ROOM
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(at))
+            for s, e in zip(cuts, cuts[1:]):
+                j = np.repeat(at[s:e], c[s:e])
+                i = np.arange(len(j)) + np.repeat(lo[s:e] - (np.cumsum(c[s:e]) - c[s:e]), c[s:e]) + x
+                ra, rb = row_a[i], row_b[j]
+                la, lb = n_a[ra], n_b[rb]
+                most, longer = np.maximum(la, lb) // tenth, la - lb
+                before = (entry_a[i] & np.uint64(FIELD)).astype(np.int64) - pos_b[j]
+                ok = np.flatnonzero((np.abs(longer) <= most) & ((np.abs(before) + np.abs(longer - before) <= most) | (np.maximum(la, lb) >= FIELD)))
+                ra, rb, j = ra[ok], rb[ok], j[ok]
+                ok = _apart(counts_a[ra], counts_b[rb]) + np.abs(longer[ok]) <= 2 * most[ok]
+                # A segment counts once, wherever in the text it stands.
+                found.append(np.unique(ra[ok] * len(entry_b) + j[ok]))
+        pair = np.unique(np.concatenate(found))
+        pair = pair // max(len(entry_b), 1) * max(len(id_b), 1) + row_b[pair % max(len(entry_b), 1)]
+        pair, hits = np.unique(pair, return_counts=True)
+        ra, rb = pair // max(len(id_b), 1), pair % max(len(id_b), 1)
+        least = np.maximum(n_b[rb] // segment_size(n_b[rb], tenth) - np.maximum(n_a[ra], n_b[rb]) // tenth, 1)
+        return pa.table({"cid_a": pa.array(id_a[ra], pa.int64()), "cid_b": pa.array(id_b[rb], pa.int64()), "hits": pa.array(hits, pa.int32()), "least": pa.array(least, pa.int32())})
 
     return run
 
@@ -163,7 +290,31 @@ def _verify(counts, total: int, tenth: int):
     return run
 
 
-def near_pairs(records: DataFrame, least: int = 40, tenth: int = 10, threshold: float = THRESHOLD) -> DataFrame:
+def _marked(near: DataFrame, classes: DataFrame, cid: str) -> DataFrame:
+    """classes without most of those that are in no pair, by a table of bits of fixed size."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).cast("int")
+
+    def mark(batches):
+        bits = np.zeros(MARKS, bool)
+        for b in batches:
+            bits[b["slot"].to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes())], pa.binary())], names=["bits"])
+
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in near.select(slot(cid).alias("slot")).mapInArrow(mark, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    bits = near.sparkSession.sparkContext.broadcast(bits)
+
+    def only(batches):
+        for b in batches:
+            x = b["slot"].to_numpy()
+            yield b.filter(pa.array((bits.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool)))
+
+    kinds = dict(classes.dtypes)
+    return classes.withColumn("slot", slot("cid")).mapInArrow(only, ", ".join([*(f"{c} {kinds[c]}" for c in classes.columns), "slot int"]))
+
+
+def near_pairs(records: DataFrame, least: int = 40, tenth: int = 10) -> DataFrame:
     """id_eval, id_train and the cosine of all records of dev or test and of train whose contexts have at least `least` letters and digits
     that turn into each other by at most 1/`tenth` of the longer one's length in edits."""
     spark = records.sparkSession
@@ -183,20 +334,16 @@ def near_pairs(records: DataFrame, least: int = 40, tenth: int = 10, threshold:
             counts[slot] = n
     counts = spark.sparkContext.broadcast(counts)
 
-    lists = [classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_lists(counts, total, threshold), "gram long, cid long, packed long") for s in (1, 0)]
-    field = lambda k, at, bits: F.shiftright(f"packed_{k}", at).bitwiseAND(F.lit((1 << bits) - 1))
-    e, t = (x.select("gram", F.col("cid").alias(f"cid_{k}"), F.col("packed").alias(f"packed_{k}")) for x, k in zip(lists, "ab"))
-    most = F.floor(F.greatest(field("a", 40, 23), field("b", 40, 23)) / tenth)
-    weight = lambda k: field(k, 0, 16) / 0xFFFF
-    near = (
-        e.join(t, "gram")
-        .where((F.abs(field("a", 40, 23) - field("b", 40, 23)) <= most) & (F.abs(field("a", 16, 23) - field("b", 16, 23)) <= most))
-        .groupBy("cid_a", "cid_b")
-        .agg(F.sum(weight("a") * weight("b")).alias("dot"))
-        .where(F.col("dot") >= threshold * (1 - REST))
-        .select("cid_a", "cid_b")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = spark.range(64 * parts).select(F.col("id").cast("int").alias("x"))
+    labels = [r["x"] for r in numbers.groupBy(F.pmod(F.hash("x"), F.lit(parts))).agg(F.min("x").alias("x")).collect()]  # one bucket for each partition of the shuffle
+    e, t = (
+        classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_spread_grams(grams, labels, tenth), "bucket int, cid long, n int, counts binary, grams binary").groupBy("bucket")
+        for s, grams in ((1, all_windows), (0, segments))
     )
-    text = [classes.where(F.col("side") == s).select(F.col("cid").alias(f"cid_{k}"), F.col("key").alias(f"key_{k}"), F.col("norm").alias(f"norm_{k}")) for s, k in ((1, "a"), (0, "b"))]
+    shared = e.cogroup(t).applyInArrow(_meet(tenth), "cid_a long, cid_b long, hits int, least int")
+    near = stored(shared.groupBy("cid_a", "cid_b").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("cid_a", "cid_b"), "p1-near")
+    text = [_marked(near, classes.where(F.col("side") == s), f"cid_{k}").select(F.col("cid").alias(f"cid_{k}"), F.col("key").alias(f"key_{k}"), F.col("norm").alias(f"norm_{k}")) for s, k in ((1, "a"), (0, "b"))]
     found = near.join(text[0], "cid_a").join(text[1], "cid_b").select("key_a", "key_b", "norm_a", "norm_b").mapInArrow(_verify(counts, total, tenth), "key_a binary, key_b binary, cosine double")
     ids = [members.where(F.col("side") == s).select(F.col("key").alias(f"key_{k}"), F.col("id").alias(f"id_{k}")) for s, k in ((1, "a"), (0, "b"))]
     return found.join(ids[0], "key_a").join(ids[1], "key_b").select(F.col("id_a").alias("id_eval"), F.col("id_b").alias("id_train"), "cosine")

@@ -88,6 +88,22 @@ def test_random_edits_of_a_tenth_are_found(spark):
     assert cosine_join.near_pairs(rows(spark, data)).count() >= 297
 
 
+def test_a_tenth_of_evenly_spaced_edits_is_found(spark):
+    """Exactly as many edits as allowed, as far from each other as possible: no 12 letters in a row are left."""
+    rnd = random.Random(5)
+    data = []
+    for i in range(200):
+        n = rnd.randint(40, 400)
+        for alphabet, source in (("abcdefghijklmnopqrstuvwxyz", "en"), ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳", "zh")):
+            t = [rnd.choice(alphabet) for _ in range(n)]
+            edited = list(t)
+            for j in range(n // 10):
+                edited[min((2 * j + 1) * n // (2 * (n // 10)), n - 1)] = "9"
+            data += [{"id": f"{source}/train/{i}", "context": "".join(t)}, {"id": f"{source}/test/{i}", "split": "test", "context": "".join(edited)}]
+    got = {tuple(r) for r in cosine_join.near_pairs(rows(spark, data)).select("id_eval", "id_train").collect()}
+    assert got == {(f"{s}/test/{i}", f"{s}/train/{i}") for s in ("en", "zh") for i in range(200)}
+
+
 def test_near_pairs_of_nothing(spark):
     assert cosine_join.near_pairs(rows(spark, [])).count() == 0
     assert cosine_join.near_pairs(rows(spark, [{"id": "a", "context": "x" * 50}])).count() == 0
