@@ -104,6 +104,36 @@ def test_a_tenth_of_evenly_spaced_edits_is_found(spark):
     assert got == {(f"{s}/test/{i}", f"{s}/train/{i}") for s in ("en", "zh") for i in range(200)}
 
 
+@pytest.mark.parametrize(("low", "high"), [(40, 59), (60, 99), (100, 199), (200, 400)])
+def test_a_tenth_of_edits_matches_brute_force(spark, low, high):
+    """Per band of length, edits of a tenth and just over, at random places and evenly spaced."""
+    rnd = random.Random(low)
+    data = []
+    for i in range(40):
+        t = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(low, high)))
+        k, n = len(t) // 10, len(t)
+        even = list(t)
+        for j in range(k):
+            even[(2 * j + 1) * n // (2 * k)] = "9"
+        # Insertions lengthen a text, and with it the bound; deletions do the opposite.
+        longer = list(t)
+        for at in sorted(rnd.sample(range(n), (n + n // 9) // 10), reverse=True):
+            longer.insert(at, rnd.choice("0123456789"))
+        shorter = [c for j, c in enumerate(t) if j not in set(range(n // (2 * k), n, n // k)[:k])]
+        texts = [_edited(rnd, t, k), _edited(rnd, t, k), _edited(rnd, t, k + 1), "".join(even), "".join(longer), "".join(shorter)]
+        data += [{"id": f"s/train/{i}", "context": t}, *({"id": f"s/test/{i}-{j}", "split": "test", "context": x} for j, x in enumerate(texts))]
+    got = {tuple(r) for r in cosine_join.near_pairs(rows(spark, data)).select("id_eval", "id_train").collect()}
+    want = set()
+    for a in (d for d in data if d.get("split") == "test"):
+        for b in (d for d in data if "split" not in d):
+            x, y = a["context"], b["context"]
+            most = max(len(x), len(y)) // 10
+            if min(len(x), len(y)) >= 40 and cosine_join.edit_distance(x, y, most) <= most:
+                want.add((a["id"], b["id"]))
+    assert len(want) > 140
+    assert got == want
+
+
 def test_near_pairs_of_nothing(spark):
     assert cosine_join.near_pairs(rows(spark, [])).count() == 0
     assert cosine_join.near_pairs(rows(spark, [{"id": "a", "context": "x" * 50}])).count() == 0
