@@ -84,25 +84,28 @@ def p8_document_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shares(table(spark, sf_dir, "documents"))
 
 
-def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_budget.deliveries(*(table(spark, sf_dir, t) for t in ("records", "documents", "datasets")))
-
-
-def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
-    return token_budget.budget(token_budget.first_ledger(_deliveries(spark, sf_dir), tok))
-
-
-def p4_updated_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same totals reached in two steps: the rows of the first two days, then all rows as an update."""
+def _in_two_steps(spark: SparkSession, sf_dir: str, withdrawn: bool) -> DataFrame:
+    """Totals of all rows, as an update of the ledger of the first two days; that one may also hold rows that were withdrawn since."""
     tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
     r, d, s = (table(spark, sf_dir, t) for t in ("records", "documents", "datasets"))
     early = token_budget.deliveries(r.where("loaded_at < TIMESTAMP '2026-01-03'"), d.where("fetched_at < TIMESTAMP '2026-01-03'"), s)
+    if withdrawn:
+        gone = early.where(F.pmod(F.xxhash64("kind", "id"), F.lit(10)) == 0).withColumn("id", F.concat(F.lit("withdrawn/"), "id"))
+        early = early.unionByName(gone.withColumn("source", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "withdrawn").otherwise(F.col("source"))))
     old = stored(token_budget.first_ledger(early, tok), "p4-ledger")
     new = stored(token_budget.update(old, token_budget.deliveries(r, d, s), tok), "p4-ledger")
     return token_budget.updated(token_budget.budget(old), token_budget.deltas(old, new))
 
 
+def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_two_steps(spark, sf_dir, False)
+
+
+def p4_updated_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals where a tenth more rows of the first two days, some of them all of their slice, are gone from the delivery."""
+    return _in_two_steps(spark, sf_dir, True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -172,17 +172,18 @@ def deliveries(records: DataFrame, documents: DataFrame, datasets: DataFrame) ->
 
 
 def first_ledger(new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """The ledger of deliveries when there was none before. Texts are encoded where they are read and never shuffled."""
-    return encoded(new.withColumn("content", content(F.col("text"), tokenizer)), tokenizer).dropDuplicates(["kind", "id"])
-
-
-def update(ledger: DataFrame, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """The ledger of `new`, a whole delivery, encoding only contents that `ledger` doesn't know."""
-    hashed = new.withColumn("content", content(F.col("text"), tokenizer)).dropDuplicates(["kind", "id"])
-    known = ledger.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    seen = hashed.drop("text").join(known, "content")
-    unseen = hashed.join(known, "content", "left_anti")
-    return seen.unionByName(encoded(unseen, tokenizer))
+    """The ledger of deliveries when there was none before."""
+    return update(None, new, tokenizer)
+
+
+def update(ledger: DataFrame | None, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The ledger of `new`, a whole delivery, encoding each content that `ledger` doesn't know once, however many rows have it."""
+    hashed = new.withColumn("content", content(F.col("text"), tokenizer))
+    texts = hashed.select("content", "text")
+    known = ledger.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")) if ledger is not None else None
+    unseen = texts.join(known, "content", "left_anti") if known is not None else texts
+    counted = encoded(unseen.dropDuplicates(["content"]), tokenizer)
+    return hashed.drop("text").dropDuplicates(["kind", "id"]).join(counted.unionByName(known) if known is not None else counted, "content")
 
 
 def deltas(old: DataFrame, new: DataFrame) -> DataFrame:
