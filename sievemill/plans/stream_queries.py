@@ -18,9 +18,9 @@ def _run(t, stream, mode="append"):
     return t.spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def _stream(t, name):
+def _stream(t, name, **kw):
     # A file is named by a pattern, as a stream wants a folder; a table in several files is a folder already.
-    return I.records_stream(t.spark, f"{t.sf_dir}/{name[:-1]}[{name[-1]}].parquet", getattr(t, name).schema)
+    return I.records_stream(t.spark, f"{t.sf_dir}/{name[:-1]}[{name[-1]}].parquet", getattr(t, name).schema, **kw)
 
 
 @query("SELECT DISTINCT source, split, question, coalesce(context, '') AS context, options FROM records WHERE loaded_at IS NOT NULL")
@@ -40,4 +40,5 @@ def stream_leaks(t):
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def stream_windows(t):
-    return _run(t, I.counts(_stream(t, "events"))).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    # One batch of all files: the watermark moves between batches, and files come in no order of time.
+    return _run(t, I.counts(_stream(t, "events", files_per_batch=2**31 - 1))).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
