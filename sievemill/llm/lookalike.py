@@ -87,13 +87,15 @@ def _forms(column: pa.Array, visible: bool) -> list:
 
 
 def consistent(records: DataFrame, visible: bool = False) -> DataFrame:
-    """id, context and options of each record, once per id, in the consistent form."""
+    """id, context and options of each record, once per id, in the consistent form; each record without an id stays."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(_forms(b["context"], visible), pa.string()), pa.array(_forms(b["options"], visible), pa.list_(pa.string()))], names=["id", "context_form", "options_form"])
 
-    return records.select("id", "context", "options").dropDuplicates(["id"]).mapInArrow(run, "id string, context_form string, options_form array<string>")
+    rows = records.select("id", "context", "options")
+    once = rows.where("id IS NOT NULL").dropDuplicates(["id"]).unionByName(rows.where("id IS NULL"))
+    return once.mapInArrow(run, "id string, context_form string, options_form array<string>")
 
 
 def _digest(context: str | None, options: list | None) -> bytes:

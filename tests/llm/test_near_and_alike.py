@@ -196,6 +196,11 @@ def test_consistent_form_keeps_nulls_and_ids(spark):
     assert got == {"a": ("a", ["b", None]), "b": (None, None)}
 
 
+def test_consistent_form_keeps_records_without_id(spark):
+    got = lookalike.consistent(rows(spark, [{"context": "Ａ"}, {"context": "Ｂ"}, {"context": "Ｂ"}, {"id": "a", "context": "Ｃ"}])).collect()
+    assert sorted((r["id"] or "", r["context_form"]) for r in got) == [("", "a"), ("", "b"), ("", "b"), ("a", "c")]
+
+
 LONG = "The quick brown fox jumps over the lazy dog, again and again."
 
 
