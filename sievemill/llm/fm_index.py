@@ -3,12 +3,16 @@
 The letters and digits of a shard's documents, with a separator between documents, are sorted into a suffix array by
 prefix doubling over packed integers. Of it stay the Burrows-Wheeler transform as a wavelet matrix with rank counts, and
 every STEP-th suffix position. A passage of n letters and digits leaks into a document if more than half of it, k = n//2 + 1
-in a row, stands there. Such a run covers one of the passage's aligned blocks of (k + 1)//2 letters, so the blocks are searched
-backward first; of passages with a block present, every window of k letters is searched backward, all windows at once.
-Occurrences are located by stepping to the next sampled suffix position, and the spans of a passage in a document are merged.
-
-Passages come from the driver in blocks of at most BLOCK distinct ones, each block against all documents. Null and empty texts and
-passages have no letters and match nothing. Repeated passages are searched once and reported for each item.
+in a row, stands there. Of passages up to SHORT letters every window of k letters is searched backward. In longer ones such a run
+covers one of the passage's aligned blocks of (k + 1)//2 letters (SEED at most), so these are searched. Occurrences are located
+by stepping to the next sampled suffix position and grow to both sides as far as passage and document agree, so that the work
+grows with the passage's length and not with its square. Runs of k letters or more stay, and the spans of a passage in a document
+are merged.
+
+A shard is indexed once, over its own alphabet, however many passages there are: they come in broadcast blocks of about BLOCK
+letters, of which a task holds one at a time. A text beyond a shard is indexed in pieces that overlap by the longest block, and
+occurrences grow over the whole text. Null and empty texts and passages have no letters and match nothing. Repeated passages are
+searched once and reported for each item.
 """
 
 from __future__ import annotations
@@ -16,13 +20,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievemill.llm.letters import codes, letters
+from sievemill.session import stored
 
 SHARD_BITS = 20
 STEP = 8
-BLOCK = 20_000
+SHORT = 64
+SEED = 1 << 16
+BLOCK = 1 << 22
 
 
 def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
@@ -91,7 +99,12 @@ class Wavelet:
 
 
 class Index:
-    def __init__(self, s: np.ndarray, bits: int):
+    """Of the code points of a shard; its own alphabet are the symbols, of which the separator is the first."""
+
+    def __init__(self, text: np.ndarray):
+        self.alphabet, s = np.unique(text, return_inverse=True)
+        bits = max(2, (len(self.alphabet) + 2).bit_length())
+        s = s.astype(np.uint16 if bits <= 16 else np.uint32)
         sa = suffix_array(s, bits)
         bwt = s[sa - 1]
         self.n, self.end_row = len(s), int(np.flatnonzero(sa == 0)[0])
@@ -102,6 +115,11 @@ class Index:
         self.sampled = np.full(self.n, -1, np.int32)
         self.sampled[self.at] = sa[self.at]
 
+    def symbols(self, a: np.ndarray) -> np.ndarray:
+        """a as symbols; what the shard doesn't have is a symbol that stands nowhere."""
+        at = np.minimum(np.searchsorted(self.alphabet, a), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == a, at, len(self.alphabet))
+
     def search(self, flat: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix rows lo to hi of each pattern flat[end - size : end], all read backward at once."""
         lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
@@ -131,80 +149,110 @@ class Index:
 
 
 class Phrases:
-    """The distinct passages as symbols: 0 separates, 1 stands for every character that no passage has."""
-
-    def __init__(self, passages: list[str]):
-        self.alphabet = np.unique(codes("".join(passages)))
-        self.bits = max(2, int(len(self.alphabet) + 2).bit_length())
-        size = np.array([len(p) for p in passages], np.int64)
-        self.flat = self.symbols(codes("".join(passages))).astype(np.int64)
-        self.start, self.size = np.cumsum(size) - size, size
-
-    def symbols(self, a: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.alphabet, a), len(self.alphabet) - 1)
-        return np.where(a == 0, 0, np.where(self.alphabet[at] == a, at + 2, 1)).astype(np.uint16 if self.bits <= 16 else np.uint32)
-
-    def ends(self, which: np.ndarray, size: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, end and size of the substrings of `size` at every `step` within each passage of `which`."""
-        n = (self.size[which] - size) // step + 1
-        who = np.repeat(np.arange(len(which)), n)
-        k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        return which[who], self.start[which[who]] + k * step[who] + size[who], size[who]
-
-
-def leaks(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, passage, first and last letter (exclusive) of each occurrence of a window in a shard's texts."""
-    none = (np.zeros(0, np.int64),) * 4
-    s = phrases.symbols(codes("\0".join(texts) + "\0"))
-    if len(s) <= len(texts):
-        return none
-    index = Index(s, phrases.bits)
-    which = np.flatnonzero(phrases.size > 0)
-    k = phrases.size // 2 + 1
-    block = (k + 1) // 2
-    who, end, size = phrases.ends(which, block[which], block[which])
-    lo, hi = index.search(phrases.flat, end, size)
-    which = np.unique(who[hi > lo])
-    if not len(which):
-        return none
-    who, end, size = phrases.ends(which, k[which], np.ones(len(which), np.int64))
-    lo, hi = index.search(phrases.flat, end, size)
+    """Distinct passages as code points, and the patterns of them that are searched."""
+
+    def __init__(self, passages: list[str], names: list[int] | None = None):
+        self.names = np.array(range(len(passages)) if names is None else names, np.int64)
+        self.flat = codes("".join(passages))
+        self.size = np.fromiter(map(len, passages), np.int64, len(passages))
+        self.start = np.cumsum(self.size) - self.size
+        self.need = self.size // 2 + 1
+        block = np.where(self.size <= SHORT, self.need, np.minimum((self.need + 1) // 2, SEED))
+        step = np.where(self.size <= SHORT, 1, block)
+        n = np.where(self.size > 0, (self.size - block) // step + 1, 0)
+        self.who = np.repeat(np.arange(len(passages)), n)
+        k = np.arange(len(self.who)) - np.repeat(np.cumsum(n) - n, n)
+        self.first = self.start[self.who] + k * step[self.who]
+        self.length = block[self.who]
+
+
+def occurrences(index: Index, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Pattern and position of each pattern's occurrence in the shard."""
+    lo, hi = index.search(index.symbols(phrases.flat), phrases.first + phrases.length, phrases.length)
     n = np.maximum(hi - lo, 0)
-    who, size = np.repeat(who, n), np.repeat(size, n)
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    at = index.locate(rows)
-    length = np.array([len(t) + 1 for t in texts], np.int64)
-    start = np.cumsum(length) - length
-    text = np.searchsorted(start, at, "right") - 1
-    return text, who, at - start[text], at - start[text] + size
+    which = np.repeat(np.arange(len(n)), n)
+    return which, index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
+
+
+def grown(text: np.ndarray, phrases: Phrases, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, start and stop in text of the longest runs around the occurrences, those that are more than half of their passage."""
+    who = phrases.who[which]
+    a, b = at.copy(), at + phrases.length[which]
+    p, q = phrases.first[which].copy(), phrases.first[which] + phrases.length[which]
+    begin, end = phrases.start[who], phrases.start[who] + phrases.size[who]
+    live = np.arange(len(at))
+    while len(live := live[(a[live] > 0) & (p[live] > begin[live])]):
+        live = live[text[a[live] - 1] == phrases.flat[p[live] - 1]]
+        a[live] -= 1
+        p[live] -= 1
+    live = np.arange(len(at))
+    while len(live := live[(b[live] < len(text)) & (q[live] < end[live])]):
+        live = live[text[b[live]] == phrases.flat[q[live]]]
+        b[live] += 1
+        q[live] += 1
+    keep = b - a >= phrases.need[who]
+    return who[keep], a[keep], b[keep]
 
 
 def merged(text: np.ndarray, who: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The occurrences of one passage in one text, joined where they touch; all of a passage have one length."""
-    order = np.lexsort((a, who, text))
+    """The spans of one passage in one text, joined where they touch."""
+    if not len(a):
+        return text, who, a, b
+    order = np.lexsort((b, a, who, text))
     text, who, a, b = text[order], who[order], a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (text[1:] != text[:-1]) | (who[1:] != who[:-1]) | (a[1:] > b[:-1])
-    last = np.append(new[1:], True) if len(new) else new
-    return text[new], who[new], a[new], b[last]
-
+    other = np.ones(len(a), bool)
+    other[1:] = (text[1:] != text[:-1]) | (who[1:] != who[:-1])
+    lift = np.cumsum(other) * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + lift)
+    new = other.copy()
+    new[1:] |= (a + lift)[1:] > reach[:-1]
+    return text[new], who[new], a[new], np.maximum.reduceat(b, np.flatnonzero(new))
+
+
+def _pieces(n: int, over: int) -> list[int]:
+    """Where the pieces of a text of n letters begin; each has up to most - 1 letters and the next one repeats `over` of them."""
+    most = (1 << SHARD_BITS) - 2
+    return list(range(0, n, most - 1 - over)) if n >= most else [0]
+
+
+def leaks(texts: list[str], blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, passage's name, start and stop of each merged span in a shard's texts; one text may be longer than a shard."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(size + 1) - size - 1
+    text = codes("\0".join(texts) + "\0")
+    most = (1 << SHARD_BITS) - 2
+    found: list[list[np.ndarray]] = [[], [], []]
+    if size.sum():
+        # Blocks are searched in each piece; the pieces of a text overlap by what the longest pattern needs.
+        for at in _pieces(len(text), min(SEED, most // 2)):
+            piece = text[at : at + most - 1]
+            index = Index(piece if piece[-1] == 0 else np.append(piece, np.uint32(0)))
+            for phrases in blocks():
+                which, where = occurrences(index, phrases)
+                who, a, b = grown(text, phrases, which, where + at)
+                for x, y in zip(found, (phrases.names[who], a, b)):
+                    x.append(y)
+    who, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    row = np.searchsorted(start, a, "right") - 1
+    return merged(row, who, a - start[row], b - start[row])
+
+
+def _scan(blocks):
+    def each():
+        for b in blocks:
+            yield b.value
+            if len(blocks) > 1:
+                vars(b).pop("_value", None)  # the next block takes its place in memory
 
-def _scan(phrases: Phrases):
     def found(ids, texts):
-        text, who, a, b = merged(*leaks(texts, phrases))
-        return pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(text)), pa.array(who, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "passage", "start", "stop"])
+        row, who, a, b = leaks(texts, each)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(who, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "passage", "start", "stop"])
 
     def run(batches):
         ids, texts, size, most = [], [], 0, (1 << SHARD_BITS) - 2
         for batch in batches:
             for i, t in zip(batch["doc_id"].to_pylist(), letters(batch["text"].to_pylist())):
-                if len(t) + 1 > most:  # a text beyond a shard is cut, with an overlap as long as any window
-                    over = int(phrases.size.max(initial=0)) + 1
-                    for at in range(0, len(t), most - 1 - over):
-                        piece = found([i], [t[at : at + most - 1]])
-                        yield piece.set_column(2, "start", pa.array(piece["start"].to_numpy() + at, pa.int32())).set_column(3, "stop", pa.array(piece["stop"].to_numpy() + at, pa.int32()))
-                    continue
-                if size + len(t) + 1 > most:
+                if texts and size + len(t) + 1 > most:
                     yield found(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(i)
@@ -216,32 +264,36 @@ def _scan(phrases: Phrases):
     return run
 
 
+def _folded(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["item_id"], pa.array(letters(b["passage"].to_pylist()), pa.string())], names=["item_id", "norm"])
+
+
 def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id, start, stop (in letters and digits of the document) of every span of items (item_id, passage)
     that stands in documents (doc_id, text)."""
     spark = documents.sparkSession
-    items = items.where("item_id IS NOT NULL AND passage IS NOT NULL")
-    blocks = items.count() // BLOCK + 1
-    out = None
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == k).select("item_id", "passage").collect()  # about BLOCK rows
-        by: dict[str, list[int]] = {}
-        for r, p in zip(own, letters([r["passage"] for r in own])):
-            if p:
-                by.setdefault(p, []).append(r["item_id"])
-        names = spark.createDataFrame([(n, i) for n, p in enumerate(by) for i in by[p]], "passage int, item_id long")
-        if not by:
-            continue
-        spans = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_scan(Phrases(list(by))), "doc_id long, passage int, start int, stop int")
-        spans = spans.join(F.broadcast(names), "passage").select("item_id", "doc_id", "start", "stop")
-        out = spans if out is None else out.unionByName(spans)
-    return out if out is not None else spark.createDataFrame([], "item_id long, doc_id long, start int, stop int")
+    folded = stored(items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").mapInArrow(_folded, "item_id long, norm string").where("norm <> ''"), "p7-items")
+    distinct = folded.groupBy("norm").agg(F.min("item_id").alias("passage"))
+    blocks, texts, names, n = [], [], [], 0
+    for r in distinct.toLocalIterator():  # the driver, too, holds one block at a time
+        texts.append(r["norm"])
+        names.append(r["passage"])
+        n += len(r["norm"])
+        if n >= BLOCK:
+            blocks.append(spark.sparkContext.broadcast(Phrases(texts, names)))
+            texts, names, n = [], [], 0
+    if texts:
+        blocks.append(spark.sparkContext.broadcast(Phrases(texts, names)))
+    if not blocks:
+        return spark.createDataFrame([], "item_id long, doc_id long, start long, stop long")
+    spans = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_scan(blocks), "doc_id long, passage long, start long, stop long")
+    named = folded.join(distinct, "norm").select("passage", "item_id")
+    return spans.join(named, "passage").select("item_id", "doc_id", "start", "stop")
 
 
 def removal_spans(spans: DataFrame) -> DataFrame:
     """doc_id, start, stop: the spans of all items in a document, merged where they touch."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("doc_id").orderBy("start", "stop")
     seen = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
     cut = spans.select("doc_id", "start", "stop").distinct().withColumn("new", F.when(F.col("start") <= seen, 0).otherwise(1)).withColumn("part", F.sum("new").over(w))

@@ -48,6 +48,11 @@ AND (a.context IS DISTINCT FROM b.context OR a.options IS DISTINCT FROM b.option
     "p7_found": f"""WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, {_LETTERS.format("text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_LETTERS.format("q_native.state")} AS p FROM probe_items WHERE q_native.state IS NOT NULL),
 w AS (SELECT DISTINCT item_id, substr(p, j, length(p) // 2 + 1) AS piece FROM (SELECT item_id, p, unnest(range(1, length(p) - length(p) // 2 + 1)) AS j FROM i WHERE p <> ''))
 SELECT DISTINCT item_id, doc_id FROM w JOIN d ON contains(d.t, w.piece)""",
+    "p7_removal_spans": f"""WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, {_LETTERS.format("text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT {_LETTERS.format("q_native.state")} AS p FROM probe_items WHERE q_native.state IS NOT NULL),
+w AS (SELECT DISTINCT substr(p, j, length(p) // 2 + 1) AS piece FROM (SELECT p, unnest(range(1, length(p) - length(p) // 2 + 1)) AS j FROM i WHERE p <> '')), m AS MATERIALIZED (SELECT doc_id, t, piece FROM w JOIN d ON contains(d.t, w.piece)),
+o AS (SELECT DISTINCT doc_id, j - 1 AS start, j - 1 + length(piece) AS stop FROM (SELECT doc_id, t, piece, unnest(range(1, length(t) - length(piece) + 2)) AS j FROM m) WHERE substr(t, j, length(piece)) = piece),
+s AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), c AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS part FROM s)
+SELECT doc_id, min(start) AS start, max(stop) AS stop FROM c GROUP BY doc_id, part""",
     "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), g AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id""",
 }

@@ -15,25 +15,47 @@ def docs(spark, data):
     return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in data], DOCS)
 
 
-def test_suffix_array_and_search_are_exact():
+def covered(texts, passages):
+    """By brute force: the letters of each text under a window of more than half of each passage."""
+    out = {}
+    for ti, t in enumerate(texts):
+        for pi, p in enumerate(passages):
+            k = len(p) // 2 + 1
+            for j in range(len(p) - k + 1):
+                at = t.find(p[j : j + k])
+                while at >= 0:
+                    out.setdefault((ti, pi), set()).update(range(at, at + k))
+                    at = t.find(p[j : j + k], at + 1)
+    return out
+
+
+def test_suffix_array_is_exact():
     rnd = random.Random(3)
+    for _ in range(40):
+        text = codes("".join(rnd.choice("abc\0") for _ in range(rnd.choice([0, 1, 5, 30, 200]))) + "\0")
+        index = fm_index.Index(text)
+        s = index.symbols(text)
+        bits = max(2, (len(index.alphabet) + 2).bit_length())
+        assert fm_index.suffix_array(s, bits).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+@pytest.mark.parametrize(("short", "shard", "seed"), [(64, 20, 1 << 16), (0, 20, 1 << 16), (3, 6, 4), (0, 7, 1)])
+def test_leaks_match_brute_force(monkeypatch, short, shard, seed):
+    """Also with tiny shards and blocks, so that texts and passages are longer than a shard."""
+    for name, value in (("SHORT", short), ("SHARD_BITS", shard), ("SEED", seed)):
+        monkeypatch.setattr(fm_index, name, value)
+    rnd = random.Random(short)
     for _ in range(60):
-        texts = ["".join(rnd.choice("abc") for _ in range(rnd.choice([0, 1, 5, 30, 60]))) for _ in range(rnd.randint(1, 12))]
-        passages = list({"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 14))) for _ in range(6)})
-        phrases = fm_index.Phrases(passages)
-        s = phrases.symbols(codes("\0".join(texts) + "\0"))
-        assert fm_index.suffix_array(s, phrases.bits).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        got = set(zip(*(x.tolist() for x in fm_index.leaks(texts, phrases))))
-        want = set()
-        for ti, t in enumerate(texts):
-            for pi, p in enumerate(passages):
-                k = len(p) // 2 + 1
-                for j in range(len(p) - k + 1):
-                    at = t.find(p[j : j + k])
-                    while at >= 0:
-                        want.add((ti, pi, at, at + k))
-                        at = t.find(p[j : j + k], at + 1)
-        assert got == want
+        alphabet = rnd.choice(["a", "ab", "abcdefgh"])
+        make = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+        passages = list({make(rnd.choice([1, 2, 5, 9, 30, 150])) for _ in range(6)})
+        texts = [make(rnd.choice([0, 1, 5, 30, 60])) + rnd.choice(passages)[rnd.randint(0, 3) :] + make(rnd.choice([0, 7])) for _ in range(1 if shard < 20 else rnd.randint(1, 8))]
+        phrases = [fm_index.Phrases(passages[:3], [0, 1, 2][: len(passages[:3])]), fm_index.Phrases(passages[3:], list(range(3, len(passages))))]
+        got = {}
+        for t, p, a, b in zip(*(x.tolist() for x in fm_index.leaks(texts, lambda: phrases))):
+            assert not got.get((t, p), set()) & set(range(a, b))
+            got.setdefault((t, p), set()).update(range(a, b))
+        assert got == covered(texts, passages)
 
 
 PASSAGE = "A passage of the evaluation set, which nobody should train on."
@@ -70,6 +92,19 @@ def test_a_text_longer_than_a_shard(spark):
     assert got == {(520_000, 520_000 + n), (520_000 + n + 600_000, 520_000 + 2 * n + 600_000)}
 
 
+def test_many_blocks_of_passages_and_one_longer_than_a_shard(spark, monkeypatch):
+    rnd = random.Random(8)
+    make = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    long_ = make((1 << 20) + 5)
+    passages = {1: long_, 2: make(200), 3: make(50), 4: make(50)}
+    monkeypatch.setattr(fm_index, "BLOCK", 60)
+    data = [(1, make(99) + long_ + make(99)), (2, long_[300:] + passages[2]), (3, passages[3][:26] + "x" + passages[4][:25]), (4, long_[: (1 << 19) - 9])]
+    items = spark.createDataFrame([(i, p, 1) for i, p in passages.items()] + [(5, passages[2].upper(), 1)], ITEMS)
+    got = {(r["item_id"], r["doc_id"], r["start"], r["stop"]) for r in fm_index.leaked_spans(docs(spark, data), items).collect()}
+    n = len(long_)
+    assert got == {(1, 1, 99, 99 + n), (1, 2, 0, n - 300), (2, 2, n - 300, n - 100), (5, 2, n - 300, n - 100), (3, 3, 0, 26)}
+
+
 def brute(texts, least):
     out = set()
     for a, x in texts.items():
