@@ -1,18 +1,23 @@
-"""Join of record texts between splits by edit distance, with the weighted cosine of what it finds.
+"""Weighted cosine join of record texts between splits that loses no pair within an edit bound.
 
-The search loses no pair. The letters and digits of a training text are cut into disjoint segments of 8, or of as many as give
-one segment more than the most edits that a pair of its length may have; that is 7 for some texts under 64. An edit
-touches one segment at most, so a pair of k edits leaves all segments but k whole, and each of these stands in the held-out text, where
-the lengths before it and after it differ by k in all at most. Held-out texts therefore give all their windows of those sizes.
-Both meet in buckets by hash; rows carry a text's counts of characters in 32 groups, which k edits change by 2k at most in all. What passes
-length, position and counts is summed per pair over the buckets, and pairs with too few whole segments go. The exact edit distance follows.
+Vectors. The letters and digits of a training text are cut into disjoint segments of SEGMENT letters, or of fewer where the text would
+otherwise have less than two segments more than the most edits, k, that a pair of its length may have. Its terms are the segments; the
+square of a term's weight is an integer that grows with the logarithm of its inverse frequency, which is counted over all training texts
+in a table of SLOTS hash slots. A held-out text is a query: its terms are all its windows of those sizes, and the dot product of the two is the weight of
+the training text's segments that stand in it, where the lengths before and after them differ by k in all at most.
 
-The cosine is over vectors of character grams (12 characters, or 6 where the gram begins with a CJK character). A gram enters
-if its hash lies under a rate that falls with the length of the text, so that long texts have about TERMS terms and similar texts
-keep the same ones. Its weight is the cubed logarithm of the inverse document frequency; frequencies are counted over all
-texts in a table of 2^18 hash slots. It measures the pairs found and decides on none.
+Threshold. An edit touches one segment at most, so whatever the k edits are, the dot product is no less than the text's squared norm without its k heaviest
+terms. That is the cosine each training text asks for; it needs no tuning and no pair falls under it.
 
-Equal texts of a side are one class; pairs of classes are spread to pairs of records at the end.
+Pruning. Terms enter the inverted lists from the heaviest on, until the squared norm of the residual, which bounds what all the terms left could
+add as no list has a larger weight for a term, can't reach the threshold any more; that takes k + 1 terms. One more is listed, so that a
+pair must share the weight of two. Common phrases thus stay out of the lists, unless a text has nothing else. Matches also pass filters by length, position and the
+counts of characters in 32 groups, which k edits change by 2k at most in all. Lists meet in buckets by hash; dot products are summed
+per pair over the buckets, pairs below their threshold go, and the exact edit distance decides on the rest.
+
+A term of more than one in HOT of the training texts is hot: its list is cut by text into SALTS parts in buckets of their own, and the queries go to all parts.
+
+Equal texts of a side are one class; pairs of classes are spread to pairs of records at the end, and counts of links never are.
 
 Nulls: a record without id, split or context takes no part. Empty tables give an empty result. Extra columns are ignored.
 """
@@ -30,13 +35,13 @@ from pyspark.sql import functions as F
 from sievemill.llm.letters import letters, mix, ragged, windows
 from sievemill.session import stored
 
-SLOTS = 1 << 18
-TERMS = 24
-WIDE, NARROW = 12, 6
-SEGMENT = 8
+SLOTS = 1 << 20
+SEGMENT = 7
+SPARE = 2  #: terms in the lists beyond the most edits, where there are as many
+HOT, SALTS = 500, 16
 GROUPS = 32  #: of characters, by code point, counted modulo 16
 FIELD = (1 << 16) - 1  #: positions beyond are taken for this, and texts as long aren't told apart by them
-ENTRY = np.dtype([("gram", "<u4"), ("pos", "<u2")])
+ENTRY = np.dtype([("gram", "<u4"), ("pos", "<u2"), ("weight", "u1")])
 ROOM = 1 << 21  #: letters, or matches, that are looked at together
 MARKS = 1 << 22  #: bits of the table of texts that are in a pair
 
@@ -70,23 +75,74 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and hash of each term of each text."""
+def most_edits(n: np.ndarray, tenth: int) -> np.ndarray:
+    """Of the longest text within reach of one of n letters."""
+    return (n + n // (tenth - 1)) // tenth
+
+
+def segment_size(n: np.ndarray, tenth: int) -> np.ndarray:
+    return np.maximum(np.minimum(SEGMENT, n // (most_edits(n, tenth) + SPARE)), 1)
+
+
+def segments(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and hash of the disjoint segments of each text."""
     a, start, n = ragged(texts)
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    cjk = a >= 0x2E80
-    h = mix(np.where(cjk, windows(a, NARROW), windows(a, WIDE)))
-    row = np.repeat(np.arange(len(texts)), n)
-    pos = np.arange(len(a)) - start[row]
-    fits = pos + np.where(cjk, NARROW, WIDE) <= n[row]
-    rate = np.minimum(1.0, TERMS / np.maximum(n - 4, 1))
-    keep = fits & ((h >> np.uint64(33)) < (rate * (1 << 31)).astype(np.uint64)[row])
-    return row[keep], pos[keep], h[keep]
+    size = segment_size(n, tenth)
+    count = n // size
+    row = np.repeat(np.arange(len(texts)), count)
+    pos = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size[row]
+    h = np.zeros(len(row), np.uint64)
+    for q in np.unique(size):
+        at = size[row] == q
+        h[at] = mix(windows(a, int(q))[(start[row] + pos)[at]] + np.uint64(q))
+    return row, pos, h
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def weigh(h: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
-    return np.log1p(total / np.maximum(counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)], 1)) ** 3
+def _count(tenth: int):
+    def run(batches):
+        total, docs = np.zeros(SLOTS, np.int64), 0
+        for b in batches:
+            row, _, h = segments(b["norm"].to_pylist(), tenth)
+            total += np.bincount(np.unique(row * SLOTS + _slot(h)) % SLOTS, minlength=SLOTS)
+            docs += b.num_rows
+        if docs:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs), pa.int64())], names=["slot", "n"])
+
+    return run
+
+
+def weights(classes: DataFrame, tenth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The squared weight of a term in each slot, and whether it is hot."""
+    table = classes.where("side = 0").select("norm").mapInArrow(_count(tenth), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
+    counts, total = np.ones(SLOTS, np.int64), int(n[slot < 0].sum())
+    counts[slot[slot >= 0]] = n[slot >= 0]
+    return np.clip(8 * np.log2(1 + total / counts), 1, 255).astype(np.uint8), counts > max(total // HOT, 1)
+
+
+def listed(row: np.ndarray, weight: np.ndarray, n: np.ndarray, tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which terms enter the lists, and per text: their squared norm; of it, what the most edits leave; the weight by which
+    that grows at least for each edit less."""
+    order = np.lexsort((-weight.astype(np.int64), row))
+    count = np.bincount(row, minlength=len(n))
+    first = np.cumsum(count) - count
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row)) - first[row[order]]
+    k = most_edits(n, tenth)
+    keep = rank < (k + SPARE)[row]
+    w = weight.astype(np.int64)
+    norm = np.bincount(row[keep], w[keep], len(n)).astype(np.int64)
+    spared = keep & (rank >= k[row])
+    left = np.bincount(row[spared], w[spared], len(n)).astype(np.int64)
+    each = np.zeros(len(n), np.int64)
+    last = rank == k[row] - 1
+    each[row[last]] = w[last]
+    return np.flatnonzero(keep), norm, left, each
 
 
 def _fold(least: int, *names: str):
@@ -105,37 +161,6 @@ def _fold(least: int, *names: str):
     return run
 
 
-def _count(batches):
-    total, docs = np.zeros(SLOTS, np.int64), 0
-    for b in batches:
-        row, _, h = vectors(b["norm"].to_pylist())
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        total += np.bincount(np.unique(row * SLOTS + slot) % SLOTS, minlength=SLOTS)
-        docs += b.num_rows
-    if docs:
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs), pa.int64())], names=["slot", "n"])
-
-
-def segment_size(n: np.ndarray, tenth: int) -> np.ndarray:
-    """Of a text of n letters, so that it has more segments than the longest text within reach allows edits."""
-    return np.maximum(np.minimum(SEGMENT, n // ((n + n // (tenth - 1)) // tenth + 1)), 1)
-
-
-def segments(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and hash of the disjoint segments of each text."""
-    a, start, n = ragged(texts)
-    size = segment_size(n, tenth)
-    count = n // size
-    row = np.repeat(np.arange(len(texts)), count)
-    pos = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size[row]
-    h = np.zeros(len(row), np.uint64)
-    for q in np.unique(size):
-        at = size[row] == q
-        h[at] = mix(windows(a, int(q))[(start[row] + pos)[at]] + np.uint64(q))
-    return row, pos, h
-
-
 def all_windows(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same of every window that may be a segment of a text within reach."""
     a, start, n = ragged(texts)
@@ -168,40 +193,55 @@ def _content(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(sizes)
 
 
-def _spread_grams(grams, labels: list[int], tenth: int):
-    """One row per text and bucket, with the text's grams there."""
+def _spread_grams(held: bool, labels: list[int], tenth: int, table):
+    """One row per text and bucket, with the text's terms there."""
     buckets, label = len(labels), np.array(labels, np.int32)
 
     def run(batches):
+        weight, hot = table.value
         for b in batches:
-            every, cid = b["norm"].to_pylist(), b["cid"].to_numpy()
+            every, cids = b["norm"].to_pylist(), b["cid"].to_numpy()
             part = np.cumsum(np.fromiter(map(len, every), np.int64, len(every))) // ROOM
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
-                texts = [every[i] for i in at]
+                texts, cid = [every[i] for i in at], cids[at]
                 a, _, n = ragged(texts)
                 counts = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + a % GROUPS, minlength=len(n) * GROUPS).astype(np.uint8).reshape(-1, GROUPS)
                 counts = counts[:, ::2] << 4 | counts[:, 1::2] & 15
-                row, pos, h = grams(texts, tenth)
-                key = row * buckets + ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                row, pos, h = (all_windows if held else segments)(texts, tenth)
+                norm = left = each = np.zeros(len(n), np.int64)
+                salt = np.zeros(len(h), np.int64)
+                if held:
+                    times = np.where(hot[_slot(h)], SALTS, 1)
+                    salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row, pos, h = (np.repeat(x, times) for x in (row, pos, h))
+                else:
+                    keep, norm, left, each = listed(row, weight[_slot(h)], n, tenth)
+                    row, pos, h = row[keep], pos[keep], h[keep]
+                    salt = np.where(hot[_slot(h)], cid[row] % SALTS, 0)
+                key = row * buckets + (((h >> np.uint64(40)).astype(np.int64) + salt) % buckets)
                 order = np.argsort(key, kind="stable")
                 entry = np.empty(len(order), ENTRY)
-                entry["gram"], entry["pos"] = h[order] & np.uint64(0xFFFFFFFF), np.minimum(pos, FIELD)[order]
+                entry["gram"], entry["pos"], entry["weight"] = h[order] & np.uint64(0xFFFFFFFF), np.minimum(pos, FIELD)[order], weight[_slot(h)][order]
                 key, size = np.unique(key, return_counts=True)
                 r = key // buckets
                 ends = np.arange(1, len(key) + 1) * (GROUPS // 2)
-                columns = [pa.array(label[key % buckets], pa.int32()), pa.array(cid[at][r], pa.int64()), pa.array(n[r], pa.int32()), _binary(counts[r], ends), _binary(entry, np.cumsum(size) * ENTRY.itemsize)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "cid", "n", "counts", "grams"])
+                numbers = [pa.array(x[r], pa.int32()) for x in (n, norm, left, each)]
+                columns = [pa.array(label[key % buckets], pa.int32()), pa.array(cid[r], pa.int64()), *numbers, _binary(counts[r], ends), _binary(entry, np.cumsum(size) * ENTRY.itemsize)]
+                yield pa.RecordBatch.from_arrays(columns, names=_LIST)
 
     return run
 
 
+_LIST = ["bucket", "cid", "n", "norm", "left", "each", "counts", "grams"]
+
+
 def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Id, length and counts (each times 16, so that they wrap as bytes do) of each row, and of each entry the row and, in one number, gram and position."""
+    """Length and counts (each times 16, so that they wrap as bytes do) of each row, and of each entry the row, weight and, in one number, gram and position."""
     data, size = _content(t["grams"])
     entry, packed = data.view(ENTRY), _content(t["counts"])[0].reshape(-1, GROUPS // 2)
     counts = np.concatenate([packed & 0xF0, packed << 4], axis=1)
-    return t["cid"].to_numpy(), t["n"].to_numpy().astype(np.int64), counts, np.repeat(np.arange(t.num_rows), size // ENTRY.itemsize), entry["gram"].astype(np.uint64) << np.uint64(16) | entry["pos"]
+    return t["n"].to_numpy().astype(np.int64), counts, np.repeat(np.arange(t.num_rows), size // ENTRY.itemsize), entry["weight"].astype(np.int64), entry["gram"].astype(np.uint64) << np.uint64(16) | entry["pos"]
 
 
 _LANES = np.uint64(0x00FF00FF00FF00FF)
@@ -217,16 +257,17 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(tenth: int):
-    """Pairs of one bucket, with the number of segments they share there and the least they must share in all."""
+    """Pairs of one bucket, with the dot product of the terms they share there, the least it must be in all, and the squared norm."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        id_a, n_a, counts_a, row_a, entry_a = _unpacked(left)
-        id_b, n_b, counts_b, row_b, entry_b = _unpacked(right)
+        n_a, counts_a, row_a, _, entry_a = _unpacked(left)
+        n_b, counts_b, row_b, weight_b, entry_b = _unpacked(right)
+        rows = max(len(n_b), 1)
         found = [np.zeros(0, np.int64)]
         # Held-out entries by band of length, then by hash and position, so that one range holds what a segment may meet.
         band = np.floor(np.log(np.maximum(n_a, 1)) / np.log(1.1)).astype(np.int64)
         low, high = (np.floor(np.log(np.maximum(x, 1)) / np.log(1.1)).astype(np.int64) for x in (n_b - n_b // tenth - 1, n_b + n_b // (tenth - 1) + 1))
-        reach = (n_b + n_b // (tenth - 1)) // tenth
+        reach = most_edits(n_b, tenth)
         order = np.lexsort((entry_a, band[row_a]))
         row_a, entry_a = row_a[order], entry_a[order]
         bands, first = np.unique(band[row_a], return_index=True)
@@ -253,39 +294,26 @@ def _meet(tenth: int):
                 ok = _apart(counts_a[ra], counts_b[rb]) + np.abs(longer[ok]) <= 2 * most[ok]
                 # A segment counts once, wherever in the text it stands.
                 found.append(np.unique(ra[ok] * len(entry_b) + j[ok]))
-        pair = np.unique(np.concatenate(found))
-        pair = pair // max(len(entry_b), 1) * max(len(id_b), 1) + row_b[pair % max(len(entry_b), 1)]
-        pair, hits = np.unique(pair, return_counts=True)
-        ra, rb = pair // max(len(id_b), 1), pair % max(len(id_b), 1)
-        least = np.maximum(n_b[rb] // segment_size(n_b[rb], tenth) - np.maximum(n_a[ra], n_b[rb]) // tenth, 1)
-        return pa.table({"cid_a": pa.array(id_a[ra], pa.int64()), "cid_b": pa.array(id_b[rb], pa.int64()), "hits": pa.array(hits, pa.int32()), "least": pa.array(least, pa.int32())})
+        term = np.unique(np.concatenate(found))
+        held, j = term // max(len(entry_b), 1), term % max(len(entry_b), 1)
+        pair, which = np.unique(held * rows + row_b[j], return_inverse=True)
+        dot = np.bincount(which, weight_b[j], len(pair)).astype(np.int64)
+        ra, rb = pair // rows, pair % rows
+        norm, spared, each = (right[c].to_numpy().astype(np.int64) for c in ("norm", "left", "each"))
+        least = spared[rb] + (reach[rb] - np.maximum(n_a[ra], n_b[rb]) // tenth) * each[rb]
+        return pa.table({"cid_a": pa.array(left["cid"].to_numpy()[ra], pa.int64()), "cid_b": pa.array(right["cid"].to_numpy()[rb], pa.int64()), **{c: pa.array(x, pa.int32()) for c, x in (("dot", dot), ("least", least), ("norm", norm[rb]))}})
 
     return run
 
 
-def cosine(a: str, b: str, counts: np.ndarray, total: int) -> float:
-    """Exact cosine of the two term-weight vectors; a term's repetitions count as often as both have it."""
-    sides = []
-    for t in (a, b):
-        h, k = np.unique(vectors([t])[2], return_counts=True)
-        sides.append((h, k, weigh(h, counts, total) ** 2))
-    (ha, ka, wa), (hb, kb, wb) = sides
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    norm = float(np.sqrt((ka * wa).sum() * (kb * wb).sum()))
-    return float((np.minimum(ka[i], kb[j]) * wa[i]).sum()) / norm if norm else 0.0
-
-
-def _verify(counts, total: int, tenth: int):
+def _verify(tenth: int):
     def run(batches):
         for b in batches:
-            keep, product = [], []
-            for i, (x, y) in enumerate(zip(b["norm_a"].to_pylist(), b["norm_b"].to_pylist())):
+            near = []
+            for x, y in zip(b["norm_a"].to_pylist(), b["norm_b"].to_pylist()):
                 most = max(len(x), len(y)) // tenth
-                if edit_distance(x, y, most) <= most:
-                    keep.append(i)
-                    product.append(1.0 if x == y else cosine(x, y, counts.value, total))
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b["key_a"].take(at), b["key_b"].take(at), pa.array(product, pa.float64())], names=["key_a", "key_b", "cosine"])
+                near.append(edit_distance(x, y, most) <= most)
+            yield b.select(["key_a", "key_b", "cosine"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -314,36 +342,47 @@ def _marked(near: DataFrame, classes: DataFrame, cid: str) -> DataFrame:
     return classes.withColumn("slot", slot("cid")).mapInArrow(only, ", ".join([*(f"{c} {kinds[c]}" for c in classes.columns), "slot int"]))
 
 
-def near_pairs(records: DataFrame, least: int = 40, tenth: int = 10) -> DataFrame:
-    """id_eval, id_train and the cosine of all records of dev or test and of train whose contexts have at least `least` letters and digits
-    that turn into each other by at most 1/`tenth` of the longer one's length in edits."""
+def near_classes(records: DataFrame, least: int = 40, tenth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(id, side, key) of the records that take part, side 0 being train and key naming the class of equal texts; and (key_a, key_b, cosine) of all
+    classes of dev or test and of train whose texts have at least `least` letters and digits and turn into each other by at most
+    1/`tenth` of the longer one's length in edits."""
     spark = records.sparkSession
     side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("dev", "test"), 1).cast("byte").alias("side")
     rows = records.select("id", side, "context").where("id IS NOT NULL AND side IS NOT NULL AND context IS NOT NULL")
     members = stored(rows.mapInArrow(_fold(least, "id", "side", "key"), "id string, side byte, key binary").distinct(), "p1-members")
     texts = rows.select("side", "context").mapInArrow(_fold(least, "side", "key", "norm"), "side byte, key binary, norm string")
     classes = stored(texts.dropDuplicates(["side", "key"]).withColumn("cid", F.monotonically_increasing_id()), "p1-classes")
-
-    counts = np.ones(SLOTS, np.int64)
-    total = 1
-    table = classes.select("norm").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^18 + 1 rows
-    for slot, n in zip(table["slot"].to_pylist(), table["n"].to_pylist()):
-        if slot < 0:
-            total = n
-        else:
-            counts[slot] = n
-    counts = spark.sparkContext.broadcast(counts)
+    table = spark.sparkContext.broadcast(weights(classes, tenth))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbers = spark.range(64 * parts).select(F.col("id").cast("int").alias("x"))
     labels = [r["x"] for r in numbers.groupBy(F.pmod(F.hash("x"), F.lit(parts))).agg(F.min("x").alias("x")).collect()]  # one bucket for each partition of the shuffle
-    e, t = (
-        classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_spread_grams(grams, labels, tenth), "bucket int, cid long, n int, counts binary, grams binary").groupBy("bucket")
-        for s, grams in ((1, all_windows), (0, segments))
-    )
-    shared = e.cogroup(t).applyInArrow(_meet(tenth), "cid_a long, cid_b long, hits int, least int")
-    near = stored(shared.groupBy("cid_a", "cid_b").agg(F.sum("hits").alias("hits"), F.max("least").alias("least")).where("hits >= least").select("cid_a", "cid_b"), "p1-near")
+    schema = "bucket int, cid long, n int, norm int, left int, each int, counts binary, grams binary"
+    e, t = (classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_spread_grams(s == 1, labels, tenth, table), schema).groupBy("bucket") for s in (1, 0))
+    shared = e.cogroup(t).applyInArrow(_meet(tenth), "cid_a long, cid_b long, dot int, least int, norm int")
+    sums = shared.groupBy("cid_a", "cid_b").agg(F.sum("dot").alias("dot"), F.max("least").alias("least"), F.max("norm").alias("norm"))
+    near = stored(sums.where("dot >= least").select("cid_a", "cid_b", F.sqrt(F.col("dot") / F.col("norm")).alias("cosine")), "p1-near")
     text = [_marked(near, classes.where(F.col("side") == s), f"cid_{k}").select(F.col("cid").alias(f"cid_{k}"), F.col("key").alias(f"key_{k}"), F.col("norm").alias(f"norm_{k}")) for s, k in ((1, "a"), (0, "b"))]
-    found = near.join(text[0], "cid_a").join(text[1], "cid_b").select("key_a", "key_b", "norm_a", "norm_b").mapInArrow(_verify(counts, total, tenth), "key_a binary, key_b binary, cosine double")
+    found = near.join(text[0], "cid_a").join(text[1], "cid_b").select("key_a", "key_b", "norm_a", "norm_b", "cosine").mapInArrow(_verify(tenth), "key_a binary, key_b binary, cosine double")
+    return members, found
+
+
+def near_pairs(records: DataFrame, least: int = 40, tenth: int = 10) -> DataFrame:
+    """id_eval, id_train and the cosine of the records of such classes."""
+    members, found = near_classes(records, least, tenth)
     ids = [members.where(F.col("side") == s).select(F.col("key").alias(f"key_{k}"), F.col("id").alias(f"id_{k}")) for s, k in ((1, "a"), (0, "b"))]
     return found.join(ids[0], "key_a").join(ids[1], "key_b").select(F.col("id_a").alias("id_eval"), F.col("id_b").alias("id_train"), "cosine")
+
+
+def links(records: DataFrame, least: int = 40, tenth: int = 10) -> DataFrame:
+    """id, class_id (the smallest id of its side with an equal text) and n_links, the records of the other side it is near to, for every record that takes
+    part. Links are counted between classes and never written out."""
+    members, found = near_classes(records, least, tenth)
+    found = stored(found, "p1-found")
+    size = members.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("id").alias("class_id"))
+    per = []
+    for s, own, other in ((1, "key_a", "key_b"), (0, "key_b", "key_a")):
+        n = size.where(F.col("side") == 1 - s).select(F.col("key").alias(other), "n")
+        per.append(found.join(n, other).groupBy(F.lit(s).cast("byte").alias("side"), F.col(own).alias("key")).agg(F.sum("n").alias("n_links")))
+    classes = size.select("side", "key", "class_id").join(per[0].unionByName(per[1]), ["side", "key"], "left")
+    return members.join(classes, ["side", "key"]).select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -16,13 +16,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b"))
 
 
+def p1_record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that takes part: its class of equal texts and the number of records on the other side that it is near to."""
+    return cosine_join.links(table(spark, sf_dir, "records"))
+
+
 def p1_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source of the held-out record: how many of its records come back in train, and in how many pairs."""
     r = table(spark, sf_dir, "records")
-    pairs = cosine_join.near_pairs(r)
-    held = r.where("split IN ('dev', 'test')").select(F.col("id").alias("id_eval"), "split", "source").dropDuplicates(["id_eval"])
-    per = pairs.groupBy("id_eval").agg(F.count("*").alias("links"))
-    return held.join(per, "id_eval").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.sum("links").alias("n_pairs"))
+    held = r.where("id IS NOT NULL AND split IN ('dev', 'test')").select("id", "split", "source").dropDuplicates(["id"])
+    per = cosine_join.links(r).where("n_links > 0").select("id", "n_links")
+    return held.join(per, "id").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.sum("n_links").alias("n_pairs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,14 +78,37 @@ def test_near_pairs_match_brute_force(spark):
     assert got == want
 
 
-def test_random_edits_of_a_tenth_are_found(spark):
-    """Recall where edits are as many as allowed: measured, as the join promises it only by cosine."""
-    rnd = random.Random(3)
+def test_texts_that_repeat_themselves_are_found(spark):
+    texts = ["ab" * 300, "x" * 500, "哈" * 400, "abc" * 100, "ab" * 290, "x" * 44, "x" * 40]
+    data = [{"id": f"s/{side}/{i}", "split": side, "context": t} for side in ("train", "test") for i, t in enumerate(texts)]
+    got = {tuple(r) for r in cosine_join.near_pairs(rows(spark, data)).select("id_eval", "id_train").collect()}
+    assert got == {(f"s/test/{i}", f"s/train/{j}") for i in range(7) for j in range(7) if i == j or {i, j} in ({0, 4}, {5, 6})}
+
+
+def test_hot_terms_are_split_and_links_counted(spark, monkeypatch):
+    """Most texts are made of the same phrases, so that hot terms must enter the lists."""
+    rnd = random.Random(11)
+    phrases = [_sentence(rnd, 4) for _ in range(2)]
     data = []
-    for i in range(300):
-        t = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(60, 300)))
-        data += [{"id": f"s/train/{i}", "context": t}, {"id": f"s/test/{i}", "split": "test", "context": _edited(rnd, t, int(len(t) * 0.08))}]
-    assert cosine_join.near_pairs(rows(spark, data)).count() >= 297
+    for i in range(120):
+        t = " ".join(rnd.choice(phrases) for _ in range(3)) + " " + _sentence(rnd, rnd.randint(0, 1))
+        data.append({"id": f"s/{'train' if i % 3 else 'dev'}/{i}", "split": "train" if i % 3 else "dev", "context": _edited(rnd, t, rnd.randint(0, 3))})
+    monkeypatch.setattr(cosine_join, "HOT", 20)
+    df = rows(spark, data + data[:3])
+    norm = dict(zip([d["id"] for d in data], letters([d["context"] for d in data])))
+    want = set()
+    for a in data[::3]:
+        for b in data:
+            x, y = norm[a["id"]], norm[b["id"]]
+            most = max(len(x), len(y)) // 10
+            if b["split"] == "train" and min(len(x), len(y)) >= 40 and cosine_join.edit_distance(x, y, most) <= most:
+                want.add((a["id"], b["id"]))
+    got = cosine_join.near_pairs(df).collect()
+    assert {(r["id_eval"], r["id_train"]) for r in got} == want and len(want) > 100
+    assert all(0 < r["cosine"] <= 1 for r in got)
+    per = {r["id"]: (r["class_id"], r["n_links"]) for r in cosine_join.links(df).collect()}
+    assert len(per) == 120 and all(per[i][0] == min(j for j in norm if norm[j] == norm[i] and j.split("/")[1] == i.split("/")[1]) for i in per)
+    assert all(n == sum(i in p for p in want) for i, (_, n) in per.items())
 
 
 def test_a_tenth_of_evenly_spaced_edits_is_found(spark):
