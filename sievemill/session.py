@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,28 +57,53 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster
+    gets an error, as a folder of one machine would be another one on each executor."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievemill-")
-    spark.sparkContext.setCheckpointDir(where)
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="sievemill-"))
     return jsc.getCheckpointDir().get()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _remove(since: int = 0) -> None:
+    while len(_made) > since:
+        spark, path = _made.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:
+            pass
+
+
+atexit.register(_remove)
+
+
+@contextmanager
+def working():
+    """Around a query and the use of its result: folders made inside are gone after it. Others go when the process ends."""
+    since = len(_made)
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
+        yield
+    finally:
+        _remove(since)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, is computed once and outlives an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
