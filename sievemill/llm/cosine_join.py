@@ -15,7 +15,8 @@ pair must share the weight of two. Common phrases thus stay out of the lists, un
 counts of characters in 32 groups, which k edits change by 2k at most in all. Lists meet in buckets by hash; dot products are summed
 per pair over the buckets, pairs below their threshold go, and the exact edit distance decides on the rest.
 
-A term of more than one in HOT of the training texts is hot: its list is cut by text into SALTS parts in buckets of their own, and the queries go to all parts.
+A term whose list would be longer than an average bucket is hot: its list is cut by text into as many parts in buckets of their own as that takes, and the
+queries go to all parts.
 
 Equal texts of a side are one class; pairs of classes are spread to pairs of records at the end, and counts of links never are.
 
@@ -38,10 +39,10 @@ from sievemill.session import stored
 SLOTS = 1 << 20
 SEGMENT = 7
 SPARE = 2  #: terms in the lists beyond the most edits, where there are as many
-HOT, SALTS = 500, 16
 GROUPS = 32  #: of characters, by code point, counted modulo 16
 FIELD = (1 << 16) - 1  #: positions beyond are taken for this, and texts as long aren't told apart by them
-ENTRY = np.dtype([("gram", "<u4"), ("pos", "<u2"), ("weight", "u1")])
+ENTRY = np.dtype([("gram", "<u4"), ("pos", "<u2")])
+HEAD = np.dtype([("counts", "u1", (GROUPS // 2,)), ("n", "<u4"), ("norm", "<u4"), ("left", "<u2"), ("each", "u1"), ("pad", "u1")])  #: of a text, before its entries
 ROOM = 1 << 21  #: letters, or matches, that are looked at together
 MARKS = 1 << 22  #: bits of the table of texts that are in a pair
 
@@ -116,13 +117,19 @@ def _count(tenth: int):
     return run
 
 
-def weights(classes: DataFrame, tenth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The squared weight of a term in each slot, and whether it is hot."""
-    table = classes.where("side = 0").select("norm").mapInArrow(_count(tenth), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
-    slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
-    counts, total = np.ones(SLOTS, np.int64), int(n[slot < 0].sum())
-    counts[slot[slot >= 0]] = n[slot >= 0]
-    return np.clip(8 * np.log2(1 + total / counts), 1, 255).astype(np.uint8), counts > max(total // HOT, 1)
+FINE = 16  #: steps of a frequency's logarithm
+
+
+def weights(classes: DataFrame, tenth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The squared weight of the terms in each slot, and into how many parts the list of one is cut."""
+    counts = classes.where("side = 0").select("norm").mapInArrow(_count(tenth), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = counts.select("slot", F.round(FINE * F.log2("n")).cast("short").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    slot, n = table["slot"].to_numpy(), 2.0 ** (table["n"].to_numpy() / FINE)
+    total = float(n[slot < 0].sum())
+    often = np.ones(SLOTS)
+    often[slot[slot >= 0]] = n[slot >= 0]
+    each = max(n[slot >= 0].sum() / buckets, 2.0)  # entries of an average bucket
+    return np.clip(8 * np.log2(1 + total / often), 1, 255).astype(np.uint8), np.clip(np.ceil(often / each), 1, buckets).astype(np.int32)
 
 
 def listed(row: np.ndarray, weight: np.ndarray, n: np.ndarray, tenth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,20 +184,37 @@ def all_windows(texts: list[str], tenth: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values one after the other in data."""
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def _packed(head: np.ndarray, entry: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One binary value per head: it, and its `size` entries after it."""
+    n = HEAD.itemsize + size * ENTRY.itemsize
+    ends = np.cumsum(n)
+    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    first = _heads(ends - n, len(data))
+    data[first], data[~first] = np.ascontiguousarray(head).view(np.uint8), entry.view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+
 
+def _heads(start: np.ndarray, n: int) -> np.ndarray:
+    """True at the bytes of heads that begin at `start`."""
+    step = np.zeros(n + 1, np.int8)
+    step[start] = 1
+    step[start + HEAD.itemsize] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
 
-def _content(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column, and the length of each value."""
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The heads and their counts (each times 16, so that they wrap as bytes do), and of each entry the row and, in one number, gram and position."""
     parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    for c in column.chunks:
+    for c in t["terms"].chunks:
         if len(c):
             at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
             parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
             sizes.append(np.diff(at).astype(np.int64))
-    return np.concatenate(parts), np.concatenate(sizes)
+    data, n = np.concatenate(parts), np.concatenate(sizes)
+    first = _heads(np.cumsum(n) - n, len(data))
+    head, entry = data[first].view(HEAD), data[~first].view(ENTRY)
+    counts = np.concatenate([head["counts"] & 0xF0, head["counts"] << 4], axis=1)
+    return head, counts, np.repeat(np.arange(len(n)), (n - HEAD.itemsize) // ENTRY.itemsize), entry["gram"].astype(np.uint64) << np.uint64(16) | entry["pos"]
 
 
 def _spread_grams(held: bool, labels: list[int], tenth: int, table):
@@ -198,7 +222,7 @@ def _spread_grams(held: bool, labels: list[int], tenth: int, table):
     buckets, label = len(labels), np.array(labels, np.int32)
 
     def run(batches):
-        weight, hot = table.value
+        weight, parts = table.value
         for b in batches:
             every, cids = b["norm"].to_pylist(), b["cid"].to_numpy()
             part = np.cumsum(np.fromiter(map(len, every), np.int64, len(every))) // ROOM
@@ -206,44 +230,29 @@ def _spread_grams(held: bool, labels: list[int], tenth: int, table):
                 at = np.flatnonzero(part == p)
                 texts, cid = [every[i] for i in at], cids[at]
                 a, _, n = ragged(texts)
+                head = np.zeros(len(n), HEAD)
                 counts = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + a % GROUPS, minlength=len(n) * GROUPS).astype(np.uint8).reshape(-1, GROUPS)
-                counts = counts[:, ::2] << 4 | counts[:, 1::2] & 15
+                head["counts"], head["n"] = counts[:, ::2] << 4 | counts[:, 1::2] & 15, n
                 row, pos, h = (all_windows if held else segments)(texts, tenth)
-                norm = left = each = np.zeros(len(n), np.int64)
-                salt = np.zeros(len(h), np.int64)
                 if held:
-                    times = np.where(hot[_slot(h)], SALTS, 1)
+                    times = parts[_slot(h)]
                     salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     row, pos, h = (np.repeat(x, times) for x in (row, pos, h))
                 else:
-                    keep, norm, left, each = listed(row, weight[_slot(h)], n, tenth)
+                    keep, head["norm"], head["left"], head["each"] = listed(row, weight[_slot(h)], n, tenth)
                     row, pos, h = row[keep], pos[keep], h[keep]
-                    salt = np.where(hot[_slot(h)], cid[row] % SALTS, 0)
-                key = row * buckets + (((h >> np.uint64(40)).astype(np.int64) + salt) % buckets)
+                    salt = cid[row] % parts[_slot(h)]
+                key = row * buckets + ((h >> np.uint64(40)).astype(np.int64) + salt) % buckets
                 order = np.argsort(key, kind="stable")
                 entry = np.empty(len(order), ENTRY)
-                entry["gram"], entry["pos"], entry["weight"] = h[order] & np.uint64(0xFFFFFFFF), np.minimum(pos, FIELD)[order], weight[_slot(h)][order]
+                entry["gram"], entry["pos"] = h[order] & np.uint64(0xFFFFFFFF), np.minimum(pos, FIELD)[order]
                 key, size = np.unique(key, return_counts=True)
                 r = key // buckets
-                ends = np.arange(1, len(key) + 1) * (GROUPS // 2)
-                numbers = [pa.array(x[r], pa.int32()) for x in (n, norm, left, each)]
-                columns = [pa.array(label[key % buckets], pa.int32()), pa.array(cid[r], pa.int64()), *numbers, _binary(counts[r], ends), _binary(entry, np.cumsum(size) * ENTRY.itemsize)]
-                yield pa.RecordBatch.from_arrays(columns, names=_LIST)
+                yield pa.RecordBatch.from_arrays([pa.array(label[key % buckets], pa.int32()), pa.array(cid[r], pa.int64()), _packed(head[r], entry, size)], names=["bucket", "cid", "terms"])
 
     return run
 
 
-_LIST = ["bucket", "cid", "n", "norm", "left", "each", "counts", "grams"]
-
-
-def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Length and counts (each times 16, so that they wrap as bytes do) of each row, and of each entry the row, weight and, in one number, gram and position."""
-    data, size = _content(t["grams"])
-    entry, packed = data.view(ENTRY), _content(t["counts"])[0].reshape(-1, GROUPS // 2)
-    counts = np.concatenate([packed & 0xF0, packed << 4], axis=1)
-    return t["n"].to_numpy().astype(np.int64), counts, np.repeat(np.arange(t.num_rows), size // ENTRY.itemsize), entry["weight"].astype(np.int64), entry["gram"].astype(np.uint64) << np.uint64(16) | entry["pos"]
-
-
 _LANES = np.uint64(0x00FF00FF00FF00FF)
 
 
@@ -256,13 +265,13 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (v * np.uint64(0x0001000100010001) >> np.uint64(52)).astype(np.int64)
 
 
-def _meet(tenth: int):
+def _meet(tenth: int, table):
     """Pairs of one bucket, with the dot product of the terms they share there, the least it must be in all, and the squared norm."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_a, counts_a, row_a, _, entry_a = _unpacked(left)
-        n_b, counts_b, row_b, weight_b, entry_b = _unpacked(right)
-        rows = max(len(n_b), 1)
+        head_a, counts_a, row_a, entry_a = _unpacked(left)
+        head_b, counts_b, row_b, entry_b = _unpacked(right)
+        n_a, n_b, rows = head_a["n"].astype(np.int64), head_b["n"].astype(np.int64), max(len(head_b), 1)
         found = [np.zeros(0, np.int64)]
         # Held-out entries by band of length, then by hash and position, so that one range holds what a segment may meet.
         band = np.floor(np.log(np.maximum(n_a, 1)) / np.log(1.1)).astype(np.int64)
@@ -297,9 +306,9 @@ def _meet(tenth: int):
         term = np.unique(np.concatenate(found))
         held, j = term // max(len(entry_b), 1), term % max(len(entry_b), 1)
         pair, which = np.unique(held * rows + row_b[j], return_inverse=True)
-        dot = np.bincount(which, weight_b[j], len(pair)).astype(np.int64)
+        dot = np.bincount(which, table.value[0][_slot(entry_b[j] >> np.uint64(16))], len(pair)).astype(np.int64)
         ra, rb = pair // rows, pair % rows
-        norm, spared, each = (right[c].to_numpy().astype(np.int64) for c in ("norm", "left", "each"))
+        norm, spared, each = (head_b[c].astype(np.int64) for c in ("norm", "left", "each"))
         least = spared[rb] + (reach[rb] - np.maximum(n_a[ra], n_b[rb]) // tenth) * each[rb]
         return pa.table({"cid_a": pa.array(left["cid"].to_numpy()[ra], pa.int64()), "cid_b": pa.array(right["cid"].to_numpy()[rb], pa.int64()), **{c: pa.array(x, pa.int32()) for c, x in (("dot", dot), ("least", least), ("norm", norm[rb]))}})
 
@@ -352,14 +361,12 @@ def near_classes(records: DataFrame, least: int = 40, tenth: int = 10) -> tuple[
     members = stored(rows.mapInArrow(_fold(least, "id", "side", "key"), "id string, side byte, key binary").distinct(), "p1-members")
     texts = rows.select("side", "context").mapInArrow(_fold(least, "side", "key", "norm"), "side byte, key binary, norm string")
     classes = stored(texts.dropDuplicates(["side", "key"]).withColumn("cid", F.monotonically_increasing_id()), "p1-classes")
-    table = spark.sparkContext.broadcast(weights(classes, tenth))
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = spark.sparkContext.broadcast(weights(classes, tenth, parts))
     numbers = spark.range(64 * parts).select(F.col("id").cast("int").alias("x"))
     labels = [r["x"] for r in numbers.groupBy(F.pmod(F.hash("x"), F.lit(parts))).agg(F.min("x").alias("x")).collect()]  # one bucket for each partition of the shuffle
-    schema = "bucket int, cid long, n int, norm int, left int, each int, counts binary, grams binary"
-    e, t = (classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_spread_grams(s == 1, labels, tenth, table), schema).groupBy("bucket") for s in (1, 0))
-    shared = e.cogroup(t).applyInArrow(_meet(tenth), "cid_a long, cid_b long, dot int, least int, norm int")
+    e, t = (classes.where(F.col("side") == s).select("cid", "norm").mapInArrow(_spread_grams(s == 1, labels, tenth, table), "bucket int, cid long, terms binary").groupBy("bucket") for s in (1, 0))
+    shared = e.cogroup(t).applyInArrow(_meet(tenth, table), "cid_a long, cid_b long, dot int, least int, norm int")
     sums = shared.groupBy("cid_a", "cid_b").agg(F.sum("dot").alias("dot"), F.max("least").alias("least"), F.max("norm").alias("norm"))
     near = stored(sums.where("dot >= least").select("cid_a", "cid_b", F.sqrt(F.col("dot") / F.col("norm")).alias("cosine")), "p1-near")
     text = [_marked(near, classes.where(F.col("side") == s), f"cid_{k}").select(F.col("cid").alias(f"cid_{k}"), F.col("key").alias(f"key_{k}"), F.col("norm").alias(f"norm_{k}")) for s, k in ((1, "a"), (0, "b"))]

@@ -93,7 +93,9 @@ def test_hot_terms_are_split_and_links_counted(spark, monkeypatch):
     for i in range(120):
         t = " ".join(rnd.choice(phrases) for _ in range(3)) + " " + _sentence(rnd, rnd.randint(0, 1))
         data.append({"id": f"s/{'train' if i % 3 else 'dev'}/{i}", "split": "train" if i % 3 else "dev", "context": _edited(rnd, t, rnd.randint(0, 3))})
-    monkeypatch.setattr(cosine_join, "HOT", 20)
+    cut = []
+    weights = cosine_join.weights
+    monkeypatch.setattr(cosine_join, "weights", lambda classes, tenth, buckets: cut.append(weights(classes, tenth, 400)) or cut[0])
     df = rows(spark, data + data[:3])
     norm = dict(zip([d["id"] for d in data], letters([d["context"] for d in data])))
     want = set()
@@ -104,6 +106,7 @@ def test_hot_terms_are_split_and_links_counted(spark, monkeypatch):
             if b["split"] == "train" and min(len(x), len(y)) >= 40 and cosine_join.edit_distance(x, y, most) <= most:
                 want.add((a["id"], b["id"]))
     got = cosine_join.near_pairs(df).collect()
+    assert cut[0][1].max() > 4
     assert {(r["id_eval"], r["id_train"]) for r in got} == want and len(want) > 100
     assert all(0 < r["cosine"] <= 1 for r in got)
     per = {r["id"]: (r["class_id"], r["n_links"]) for r in cosine_join.links(df).collect()}
