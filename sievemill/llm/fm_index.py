@@ -29,7 +29,8 @@ from sievemill.session import stored
 SHARD_BITS = 20
 STEP = 8
 SHORT = 64
-SEED = 1 << 16
+SEED = 1 << 12
+TOGETHER = 64  #: letters by which occurrences grow all at once; longer runs are then compared one by one
 BLOCK = 1 << 22
 
 
@@ -174,22 +175,34 @@ def occurrences(index: Index, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     return which, index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
 
 
+def _agreeing(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values are the same from the first one on."""
+    other = x != y
+    return int(other.argmax()) if other.any() else len(x)
+
+
 def grown(text: np.ndarray, phrases: Phrases, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, start and stop in text of the longest runs around the occurrences, those that are more than half of their passage."""
     who = phrases.who[which]
     a, b = at.copy(), at + phrases.length[which]
     p, q = phrases.first[which].copy(), phrases.first[which] + phrases.length[which]
     begin, end = phrases.start[who], phrases.start[who] + phrases.size[who]
-    live = np.arange(len(at))
-    while len(live := live[(a[live] > 0) & (p[live] > begin[live])]):
+    live, steps = np.arange(len(at)), 0
+    while len(live := live[(a[live] > 0) & (p[live] > begin[live])]) and (steps := steps + 1) <= TOGETHER:
         live = live[text[a[live] - 1] == phrases.flat[p[live] - 1]]
         a[live] -= 1
         p[live] -= 1
-    live = np.arange(len(at))
-    while len(live := live[(b[live] < len(text)) & (q[live] < end[live])]):
+    for i in live.tolist():
+        n = min(a[i], p[i] - begin[i])
+        a[i] -= _agreeing(text[a[i] - n : a[i]][::-1], phrases.flat[p[i] - n : p[i]][::-1])
+    live, steps = np.arange(len(at)), 0
+    while len(live := live[(b[live] < len(text)) & (q[live] < end[live])]) and (steps := steps + 1) <= TOGETHER:
         live = live[text[b[live]] == phrases.flat[q[live]]]
         b[live] += 1
         q[live] += 1
+    for i in live.tolist():
+        n = min(len(text) - b[i], end[i] - q[i])
+        b[i] += _agreeing(text[b[i] : b[i] + n], phrases.flat[q[i] : q[i] + n])
     keep = b - a >= phrases.need[who]
     return who[keep], a[keep], b[keep]
 

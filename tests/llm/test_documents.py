@@ -39,10 +39,10 @@ def test_suffix_array_is_exact():
         assert fm_index.suffix_array(s, bits).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize(("short", "shard", "seed"), [(64, 20, 1 << 16), (0, 20, 1 << 16), (3, 6, 4), (0, 7, 1)])
-def test_leaks_match_brute_force(monkeypatch, short, shard, seed):
+@pytest.mark.parametrize(("short", "shard", "seed", "together"), [(64, 20, 1 << 12, 64), (0, 20, 1 << 12, 0), (3, 6, 4, 3), (0, 7, 1, 64)])
+def test_leaks_match_brute_force(monkeypatch, short, shard, seed, together):
     """Also with tiny shards and blocks, so that texts and passages are longer than a shard."""
-    for name, value in (("SHORT", short), ("SHARD_BITS", shard), ("SEED", seed)):
+    for name, value in (("SHORT", short), ("SHARD_BITS", shard), ("SEED", seed), ("TOGETHER", together)):
         monkeypatch.setattr(fm_index, name, value)
     rnd = random.Random(short)
     for _ in range(60):
@@ -129,31 +129,101 @@ def test_sharing_pairs_match_brute_force(spark, alphabet):
     assert len(got) == len(set(got)) and set(got) == brute(texts, 200)
 
 
-@pytest.mark.parametrize("stock", [185, 199, 200, 230])
+@pytest.mark.parametrize("stock", [165, 185, 199, 200, 230])
 def test_hot_runs_are_refined(spark, monkeypatch, stock):
     monkeypatch.setattr(shared_spans, "HOT", 5)
     rnd = random.Random(stock)
     make = lambda n: "".join(rnd.choice("abcdefgh .") for _ in range(n))
     phrase = make(stock)
-    texts = {i: make(rnd.randint(0, 90)) + phrase + make(rnd.randint(0, 90)) for i in range(30)}
+    texts = {i: make(rnd.randint(20, 90)) + phrase + make(rnd.randint(30, 90)) for i in range(30)}
     texts |= {30 + i: make(20) + phrase + texts[i][-60:] for i in range(10)}
     df = docs(spark, list(texts.items()))
-    assert stock < 199 or shared_spans._hot_slots(df.selectExpr("doc_id AS cid", "text"), 200).any()
+    runs = df.selectExpr("doc_id AS cid", "text").mapInArrow(shared_spans._runs(200), "run long, cid long").groupBy("run").count()
+    assert stock < 199 or runs.where("count > 5").count()
     got = {tuple(r) for r in shared_spans.sharing_pairs(df).collect()}
     assert got == brute(texts, 200) and (stock < 200 or len(got) == 40 * 39 // 2)
 
 
+def test_every_shared_stretch_holds_a_run():
+    """A stretch of LEAST characters has a run in common wherever it stands."""
+    import numpy as np
+
+    rnd = random.Random(2)
+    for trial in range(150):
+        alphabet = rnd.choice(["abcdefghij klmno.", "ab", "abc .", "。一二三四五", "a", "..a"])
+        make = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))  # noqa: E731, B023
+        stretch, hashes = make(200), []
+        for _ in range(2):
+            text = make(rnd.choice([0, 1, 70])) + stretch + make(rnd.choice([0, 1, 70]))
+            a = codes(text)
+            begin, end, h = shared_spans.runs_of(a, np.array([0]), np.array([len(a)]), 200, {})
+            assert all(129 <= e - b < 161 for b, e in zip(begin, end))
+            hashes.append(set(h.tolist()))
+        assert hashes[0] & hashes[1], trial
+
+
+def brute_windows(texts, least):
+    """Per document the windows that stand in another one, and those that stand in a smaller one."""
+    where = {}
+    for d, t in texts.items():
+        for i in range(len(t or "") - least + 1):
+            where.setdefault(t[i : i + least], set()).add(d)
+    out = {}
+    for d, t in texts.items():
+        shared = [i for i in range(len(t or "") - least + 1) if len(where[t[i : i + least]]) > 1]
+        out[d] = shared, [i for i in shared if min(where[t[i : i + least]]) < d]
+    return out
+
+
+def joined(places, least):
+    out = []
+    for i in places:
+        if out and i <= out[-1][1]:
+            out[-1][1] = i + least
+        else:
+            out.append([i, i + least])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghij klmno.", "ab.", "a"])
+def test_spans_shares_and_links_match_brute_force(spark, alphabet):
+    rnd = random.Random(len(alphabet))
+    make = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+    texts = {i: make(rnd.randint(150, 600)) for i in range(12)}
+    for i in range(12, 40):
+        s = texts[rnd.randrange(12)]
+        at = rnd.randint(0, max(0, len(s) - 200))
+        texts[i] = make(rnd.randint(0, 150)) + s[at : at + rnd.randint(190, 400)] + make(rnd.randint(0, 150)) + (s[:230] if i % 3 == 0 else "")
+    texts |= {50: texts[13], 51: None, 52: "", 53: texts[0]}
+    df = docs(spark, [*texts.items(), (None, texts[0]), (13, texts[13])])
+    want = brute_windows(texts, 200)
+    spans = {}
+    for r in shared_spans.spans(df).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["stop"]))
+    assert {d: sorted(s) for d, s in spans.items()} == {d: joined(w, 200) for d, (w, _) in want.items() if w}
+    got = {r["doc_id"]: tuple(r)[1:] for r in shared_spans.shares(df).collect()}
+    size = lambda places: sum(b - a for a, b in joined(places, 200))
+    assert got == {d: (len(texts[d]), size(w), size(late)) for d, (w, late) in want.items() if w}
+    kept = {r["doc_id"]: r["text_kept"] for r in shared_spans.deduplicated(df).collect()}
+    cut = {d: "" if min(e for e in texts if texts[e] == texts[d]) < d else shared_spans.without(texts[d], joined(late, 200)) for d, (_, late) in want.items() if late}
+    assert kept == {d: t for d, t in cut.items() if t != texts[d]}
+    pairs = brute(texts, 200)
+    links = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in shared_spans.links(df).collect()}
+    assert links == {d: (min(e for e in texts if texts[e] == t), sum(d in p for p in pairs)) for d, t in texts.items() if t and len(t) >= 200}
+
+
+def test_sentences_under_spans_go():
+    assert shared_spans.without("One. Two!? Three", [(4, 10)]) == "One. Three"
+    assert shared_spans.without("One. Two!? Three", [(5, 16)]) == "One. Two!?"
+    assert shared_spans.without("One. Two", [(0, 2), (2, 4)]) == " Two"
+    assert shared_spans.without("", []) == ""
+
+
 def test_shares(spark):
     rnd = random.Random(9)
     a, b, c = ("".join(rnd.choice("abcdefgh .") for _ in range(300)) for _ in range(3))
     got = {r["doc_id"]: tuple(r)[1:] for r in shared_spans.shares(docs(spark, [(1, a + b), (2, c + b), (3, c), (4, c), (5, "short"), (6, None)])).collect()}
     assert got[1] == (600, 300, 0) and got[2] == (600, 600, 300)
     assert got[3] == (300, 300, 300) and got[4] == (300, 300, 300) and set(got) == {1, 2, 3, 4}
-    assert shared_spans.shares(docs(spark, [])).count() == 0
-
-
-def test_maximal_stretches():
-    x, y = "<" + "k" * 250 + ">", "k" * 230
-    found = shared_spans.stretches(x, y)
-    assert all(x[i : i + n] == y[j : j + n] and n >= 200 for i, j, n in found)
-    assert (0, 0, 230) not in found and max(n for _, _, n in found) == 230
+    for f in (shared_spans.shares, shared_spans.spans, shared_spans.links, shared_spans.deduplicated):
+        assert f(docs(spark, [])).count() == 0
