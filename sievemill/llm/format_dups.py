@@ -3,8 +3,9 @@
 The canonical key of a record is a 128-bit hash of source, split, question, options and the letters and digits of the
 context. A context that is a JSON object enters as its fields sorted by name, string values as their letters and digits.
 
-Hot keys are found exactly from partial counts and salted into a two-level aggregation; all others take one shuffle. The
-representative is the smallest id. At most HOT keys are hot, so their table is broadcast when copies are listed.
+Hot keys are found exactly from partial counts. Fewer than HOT keys can be hot, so their table is broadcast, and their rows are parted from
+the others before anything is shuffled by key: they are salted into a two-level aggregation, all others take one shuffle. The
+representative is the smallest id.
 
 Nulls in source, split, question or options are values of their own; records without id or context, and those whose
 context has too few letters and digits, stand for themselves and form no group. Repeated ids count once.
@@ -81,28 +82,29 @@ def _keyed(least: int):
     return run
 
 
-def groups(records: DataFrame, least: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(key, id) of all records that take part; (key, keep_id, n) of every group of two or more ids, hot ones marked."""
+SALTS = 64
+
+
+def groups(records: DataFrame, least: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, id) of all records that take part; the hot keys; (key, keep_id, n, hot) of every group of two or more ids."""
     rows = records.select("id", "source", "split", "question", "options", "context").where("id IS NOT NULL AND context IS NOT NULL")
     keyed = stored(rows.mapInArrow(_keyed(least), "id string, key binary").distinct(), "p5-keys")
-    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "p5-counts")
-    total = keyed.count()
-    hot = F.broadcast(counts.where(F.col("n") > max(10_000, total // HOT)).select("key"))  # fewer than HOT rows
-    members = keyed.join(counts.select("key"), "key", "left_semi")
-    salted = members.join(hot, "key", "left_semi").groupBy("key", (F.crc32("id") % 64).alias("salt")).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    total = keyed.count()  # from the footers of what was just written
+    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > total // HOT).where("n > 1").select("key"), "p5-hot")
+    salted = keyed.join(F.broadcast(hot), "key", "left_semi").groupBy("key", (F.crc32("id") % SALTS).alias("salt")).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     two = salted.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).withColumn("hot", F.lit(True))
-    one = members.join(hot, "key", "left_anti").groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).withColumn("hot", F.lit(False))
-    return keyed, two.unionByName(one)
+    one = keyed.join(F.broadcast(hot), "key", "left_anti").groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").withColumn("hot", F.lit(False))
+    return keyed, hot, two.unionByName(one)
 
 
 def copies(records: DataFrame, least: int = 40) -> DataFrame:
     """keep_id and copy_id: one row for each id of a group but the smallest."""
-    keyed, found = groups(records, least)
+    keyed, hot, found = groups(records, least)
     found = stored(found, "p5-groups")
-    parts = [keyed.join(F.broadcast(found.where("hot")), "key"), keyed.join(found.where("NOT hot"), "key")]
+    parts = [keyed.join(F.broadcast(found.where("hot").select("key", "keep_id")), "key"), keyed.join(F.broadcast(hot), "key", "left_anti").join(found.where("NOT hot").select("key", "keep_id"), "key")]
     return parts[0].unionByName(parts[1]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def counted(records: DataFrame, least: int = 40) -> DataFrame:
     """keep_id and n_copies of every group of two or more ids."""
-    return groups(records, least)[1].select("keep_id", F.col("n").alias("n_copies"))
+    return groups(records, least)[2].select("keep_id", F.col("n").alias("n_copies"))

@@ -3,14 +3,14 @@
 The size of the whole is the largest at which the sources together fall short of their shares by at most `shortfall`, as a
 source yields at most max_repeats times its tokens (sources without any record are left out of that sum), unless it is
 given. Each source then has a budget. As many full passes over its records as the budget allows come first. For what remains its
-records are counted by exact length; of every length the same fraction is taken, and the small budget then left is filled by
-dynamic programming over the numbers still free of each length: the reachable sums are the bits of one integer, a length
+records are counted by exact length; of every length the same fraction is taken, and of the budget then left the last part, a few times the longest
+length, is filled by dynamic programming over the numbers still free of each length: the reachable sums are the bits of one integer, a length
 with count c enters in powers of two up to c. Which records of a length are taken is decided by a seeded hash.
 
 A group of one source and length may hold most of the rows: it is cut by hash into parts of about PART records, whole
 parts are taken by their counts, and only one part is ranked. Records without tokens can't fill a budget and are out, as are
 those whose language isn't the target's; a null language counts as the source's. Repeated ids count once. Targets without
-records appear in the report with nothing reached.
+records appear in the report with nothing reached; share_of_present is the target among those that have records.
 """
 
 from __future__ import annotations
@@ -24,17 +24,20 @@ from sievemill.llm.token_budget import Tokenizer, encoded, language
 from sievemill.session import stored
 
 PART = 50_000
-MOST_BITS = 1 << 20  #: a budget left over beyond this is first cut by taking whole records of the longest lengths
+REACH = 16  #: the dynamic programme fills so many times the longest length
 
 
 def subset(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that their sum is the largest reachable one within the budget."""
+    """How many of each length to take so that their sum comes close to the budget and never passes it. The longest are taken first until REACH times the
+    longest one is left, so the table of reachable sums is as long as lengths are and not as the budget is; the rest is the largest sum reachable with what is
+    free then."""
     take = [0] * len(lengths)
-    if budget > MOST_BITS:
-        for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-            n = min(counts[k], (budget - MOST_BITS // 2) // lengths[k]) if budget > MOST_BITS else 0
-            take[k] += n
-            budget -= n * lengths[k]
+    room = REACH * max(lengths, default=0)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        n = min(counts[k], max(0, budget - room) // lengths[k])
+        take[k] += n
+        budget -= n * lengths[k]
+    budget = min(budget, sum(size * (c - t) for size, c, t in zip(lengths, counts, take)))
     mask = (1 << budget + 1) - 1
     reach, steps = 1, []
     for k, (size, free) in enumerate(zip(lengths, counts)):
@@ -113,5 +116,7 @@ def mixture(records: DataFrame, targets: DataFrame, merges: DataFrame, size: int
     got = fitted.groupBy("source", "lang").agg(F.sum(F.col("n_tokens") * (F.col("n") * F.col("passes") + F.col("extra"))).alias("got"), F.sum(F.col("n") * F.col("passes") + F.col("extra")).alias("uses"))
     total = got.agg(F.sum("got").alias("total"))
     report = goal.join(got, ["source", "lang"], "left").crossJoin(F.broadcast(total))  # one row
+    present = sum(r["target_share"] for r in known if r["tokens"])
     share = F.coalesce(F.col("got") / F.col("total"), F.lit(0.0))
-    return used, report.select("source", "lang", "target_share", share.alias("actual_share"), F.coalesce("got", F.lit(0)).alias("n_tokens"), F.coalesce("uses", F.lit(0)).alias("n_uses"), F.coalesce("n_records", F.lit(0)).alias("n_records"), "max_repeats")
+    of_present = F.when(F.col("tokens") > 0, F.col("target_share") / F.lit(present or 1.0))
+    return used, report.select("source", "lang", "target_share", of_present.alias("share_of_present"), share.alias("actual_share"), F.coalesce("got", F.lit(0)).alias("n_tokens"), F.coalesce("uses", F.lit(0)).alias("n_uses"), F.coalesce("n_records", F.lit(0)).alias("n_records"), "max_repeats")

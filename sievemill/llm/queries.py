@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import cosine_join, fm_index, format_dups, lookalike, mixing, packing, shared_spans, token_budget
-from sievemill.session import stored, table
+from sievemill.session import folder, stored, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.sharing_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.links(table(spark, sf_dir, "documents"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.spans(table(spark, sf_dir, "documents"))
+
+
 def p8_document_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shares(table(spark, sf_dir, "documents"))
 
 
+def p8_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def _in_two_steps(spark: SparkSession, sf_dir: str, withdrawn: bool) -> DataFrame:
     """Totals of all rows, as an update of the ledger of the first two days; that one may also hold rows that were withdrawn since."""
     tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
@@ -96,9 +108,19 @@ def _in_two_steps(spark: SparkSession, sf_dir: str, withdrawn: bool) -> DataFram
     if withdrawn:
         gone = early.where(F.pmod(F.xxhash64("kind", "id"), F.lit(10)) == 0).withColumn("id", F.concat(F.lit("withdrawn/"), "id"))
         early = early.unionByName(gone.withColumn("source", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "withdrawn").otherwise(F.col("source"))))
-    old = stored(token_budget.first_ledger(early, tok), "p4-ledger")
-    new = stored(token_budget.update(old, token_budget.deliveries(r, d, s), tok), "p4-ledger")
-    return token_budget.updated(token_budget.budget(old), token_budget.deltas(old, new))
+    ledger = token_budget.Ledger(spark, folder(spark, "p4-ledger"))
+    ledger.update(early, tok)
+    return ledger.update(token_budget.deliveries(r, d, s), tok)
+
+
+def p4_counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the documents whose true count is known, from a ledger of all documents."""
+    tok = token_budget.Tokenizer.of(table(spark, sf_dir, "tok_merges"))
+    d, s = (table(spark, sf_dir, t) for t in ("documents", "datasets"))
+    ledger = token_budget.Ledger(spark, folder(spark, "p4-ledger"))
+    ledger.update(token_budget.deliveries(table(spark, sf_dir, "records").limit(0), d, s), tok)
+    known = table(spark, sf_dir, "token_counts").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    return ledger.rows().where("kind = 'document'").join(known, "id", "left_semi").select(F.col("id").cast("long").alias("doc_id"), "n_tokens")
 
 
 def p4_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

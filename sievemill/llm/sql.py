@@ -36,7 +36,16 @@ FROM r, json_tree(r.context) t WHERE r.context LIKE '{{%}}' AND json_valid(r.con
 k AS (SELECT r.*, coalesce('{{' || j.form, {_LETTERS.format("context")}) AS form FROM r LEFT JOIN j USING (id)),
 g AS (SELECT id, min(id) OVER w AS keep_id, count(*) OVER w AS n FROM k WHERE length({_LETTERS.format("context")}) >= 40 WINDOW w AS (PARTITION BY source, split, question, options, form))"""
 
+_WINDOWS = """WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), g AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d))"""
+_SHARED = "s AS MATERIALIZED (SELECT doc_id, i, doc_id > lo AS later FROM g JOIN (SELECT h, min(doc_id) AS lo FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h))"
+
+
+def _cover(name: str, places: str) -> str:
+    return f"{name} AS (SELECT doc_id, sum(least(200, coalesce(after - i, 200)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM {places}) GROUP BY doc_id)"
+
+
 SQL: dict[str, str] = {
+    "p4_counted_documents": "SELECT doc_id, n_tokens FROM token_counts",
     "p5_found": f"{_FORMS} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p5_copy_counts": f"{_FORMS} SELECT DISTINCT keep_id, n AS n_copies FROM g WHERE n > 1",
     "p2_found": f"""WITH r AS (SELECT DISTINCT id, split, source, context, options FROM records WHERE context IS NOT NULL OR options IS NOT NULL),
@@ -53,6 +62,11 @@ w AS (SELECT DISTINCT substr(p, j, length(p) // 2 + 1) AS piece FROM (SELECT p,
 o AS (SELECT DISTINCT doc_id, j - 1 AS start, j - 1 + length(piece) AS stop FROM (SELECT doc_id, t, piece, unnest(range(1, length(t) - length(piece) + 2)) AS j FROM m) WHERE substr(t, j, length(piece)) = piece),
 s AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), c AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS part FROM s)
 SELECT doc_id, min(start) AS start, max(stop) AS stop FROM c GROUP BY doc_id, part""",
-    "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), g AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id""",
+    "p8_found": f"""{_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id""",
+    "p8_document_links": f"""{_WINDOWS}, p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b USING (h) WHERE a.doc_id <> b.doc_id), n AS (SELECT x AS doc_id, count(*) AS n FROM p GROUP BY x)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, coalesce(n, 0) AS n_links FROM d LEFT JOIN n USING (doc_id)""",
+    "p8_spans": f"""{_WINDOWS}, {_SHARED}, c AS (SELECT *, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s))
+SELECT doc_id, (min(i) - 1)::INT AS start, (max(i) + 199)::INT AS stop FROM c GROUP BY doc_id, part""",
+    "p8_document_share": f"""{_WINDOWS}, {_SHARED}, {_cover("a", "s")}, {_cover("b", "(SELECT * FROM s WHERE later)")}
+SELECT doc_id, length(text)::INT AS n_chars, a.n AS n_shared, coalesce(b.n, 0) AS n_removed FROM d JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
 }

@@ -4,11 +4,12 @@ The tokenizer: a run of the letters A-Z and a-z starts as single letters; while
 lowest rank is joined wherever it stands, left to right. Any other character that is not whitespace is one token. Each
 distinct word is encoded once per worker.
 
-A ledger row is (kind, id, source, lang, domain, content, n_tokens); `content` is a hash of text and tokenizer. An update compares the
-new deliveries with the ledger by kind and id and looks contents up in it: only contents that it has never seen are
-encoded. What changed or vanished leaves the totals by a negative row, what came enters by a positive one.
+A `Ledger` is a folder that outlives the session. It holds the token counts by content and tokenizer, to which an update only adds, and per
+version the rows (kind, id, source, lang, domain, content, n_tokens) and their totals; `content` is a hash of text and tokenizer. An update
+looks the contents of the new deliveries up among the counts and encodes only those that were never seen, each once. It compares the deliveries with the
+last version by kind and id: what changed or vanished leaves the totals by a negative row, what came enters by a positive one.
 
-Null and empty texts have no tokens. Null languages and domains fall back on the source's own, spelling variants of
+Null and empty texts have no tokens, and no content to look up, so they meet in no join. Null languages and domains fall back on the source's own, spelling variants of
 a language to its two-letter code; what stays null is a slice of its own. Repeated ids count once.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.letters import SEP, codes
+from sievemill.llm.letters import codes
 
 _WORD = re.compile("[A-Za-z]+")
 CACHE = 1 << 20  #: distinct words a worker remembers before it starts anew
@@ -145,7 +146,7 @@ def language(lang: Column, fallback: Column) -> Column:
 
 
 def content(text: Column, tokenizer: Tokenizer) -> Column:
-    return F.unhex(F.md5(F.concat(F.lit(tokenizer.name + "\n"), F.coalesce(text, F.lit("")))))
+    return F.when(text != "", F.unhex(F.md5(F.concat(F.lit(tokenizer.name + "\n"), text))))
 
 
 def encoded(rows: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
@@ -172,18 +173,71 @@ def deliveries(records: DataFrame, documents: DataFrame, datasets: DataFrame) ->
 
 
 def first_ledger(new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """The ledger of deliveries when there was none before."""
+    """The rows of deliveries when there were none before."""
     return update(None, new, tokenizer)
 
 
+def unseen(known: DataFrame | None, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """content and n_tokens of what `new` has and `known` (content, n_tokens) hasn't: each content is encoded once, however many rows have it."""
+    texts = new.select(content(F.col("text"), tokenizer).alias("content"), "text").where("content IS NOT NULL")
+    if known is not None:
+        texts = texts.join(known.select("content"), "content", "left_anti")
+    return encoded(texts.dropDuplicates(["content"]), tokenizer)
+
+
+def rows_of(counts: DataFrame, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """The rows of `new`, once per kind and id, with their n_tokens by counts (content, n_tokens)."""
+    hashed = new.withColumn("content", content(F.col("text"), tokenizer)).drop("text").dropDuplicates(["kind", "id"])
+    return hashed.where("content IS NOT NULL").join(counts, "content").unionByName(hashed.where("content IS NULL").withColumn("n_tokens", F.lit(0).cast("long")))
+
+
 def update(ledger: DataFrame | None, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """The ledger of `new`, a whole delivery, encoding each content that `ledger` doesn't know once, however many rows have it."""
-    hashed = new.withColumn("content", content(F.col("text"), tokenizer))
-    texts = hashed.select("content", "text")
-    known = ledger.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")) if ledger is not None else None
-    unseen = texts.join(known, "content", "left_anti") if known is not None else texts
-    counted = encoded(unseen.dropDuplicates(["content"]), tokenizer)
-    return hashed.drop("text").dropDuplicates(["kind", "id"]).join(counted.unionByName(known) if known is not None else counted, "content")
+    """The rows of `new`, a whole delivery, encoding each content that the rows of `ledger` don't have once."""
+    known = ledger.where("content IS NOT NULL").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")) if ledger is not None else None
+    added = unseen(known, new, tokenizer)
+    return rows_of(added.unionByName(known) if known is not None else added, new, tokenizer)
+
+
+class Ledger:
+    """The counts, rows and totals under one folder. A version is there once it is written whole; an update that was
+    cut off leaves the last one as it was, and the counts it added stay good."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _there(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        p, fs = self._there("")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[8:]) for n in names if n.startswith("version-") and fs.exists(self._there(f"{n}/totals/_SUCCESS")[0]))
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{path}")
+
+    def counts(self, tokenizer: Tokenizer) -> DataFrame | None:
+        p, fs = self._there(f"counts/{tokenizer.name}")
+        return self._read(f"counts/{tokenizer.name}").dropDuplicates(["content"]) if fs.exists(p) else None
+
+    def rows(self) -> DataFrame | None:
+        v = self.versions()
+        return self._read(f"version-{v[-1]}/rows") if v else None
+
+    def totals(self) -> DataFrame | None:
+        v = self.versions()
+        return self._read(f"version-{v[-1]}/totals") if v else None
+
+    def update(self, new: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+        """Takes in `new`, a whole delivery, and gives the totals after it."""
+        write = lambda df, path, mode="overwrite": df.write.mode(mode).option("compression", "zstd").parquet(f"{self.folder}/{path}")
+        write(unseen(self.counts(tokenizer), new, tokenizer), f"counts/{tokenizer.name}", "append")
+        old, cube, n = self.rows(), self.totals(), (self.versions() or [0])[-1] + 1
+        write(rows_of(self.counts(tokenizer), new, tokenizer), f"version-{n}/rows")
+        rows = self._read(f"version-{n}/rows")
+        write(budget(rows) if old is None else updated(cube, deltas(old, rows)), f"version-{n}/totals")
+        return self._read(f"version-{n}/totals")
 
 
 def deltas(old: DataFrame, new: DataFrame) -> DataFrame:
