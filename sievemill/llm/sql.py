@@ -44,7 +44,25 @@ def _cover(name: str, places: str) -> str:
     return f"{name} AS (SELECT doc_id, sum(least(200, coalesce(after - i, 200)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM {places}) GROUP BY doc_id)"
 
 
+
+
+def _bytes(x: str, prime: int) -> str:
+    """One byte per code point, so that a distance of bytes is one of code points, unless two differ by a multiple of the prime."""
+    return f"list_aggregate(list_transform(string_split({x}, ''), lambda c: chr(33 + unicode(c) % {prime})), 'string_agg', '')"
+
+
+_PRIMES = (89, 83, 79)
+_NEAR = f"""WITH l AS MATERIALIZED (SELECT DISTINCT id, split, source, {_LETTERS.format("context")} AS t FROM records WHERE id IS NOT NULL AND context IS NOT NULL AND split IN ('train', 'dev', 'test')),
+x AS MATERIALIZED (SELECT *, length(t) AS n, {", ".join(f"{_bytes('t', k)} AS c{i}" for i, k in enumerate(_PRIMES))} FROM (SELECT DISTINCT t, split = 'train' AS train FROM l) WHERE length(t) >= 40),
+y AS MATERIALIZED (SELECT a.t AS ta, b.t AS tb, greatest(a.n, b.n) // 10 AS most, {", ".join(f"a.c{i} AS a{i}, b.c{i} AS b{i}" for i in range(3))} FROM (FROM x WHERE NOT train) a JOIN (FROM x WHERE train) b ON a.n <= b.n + b.n // 9 + 1 AND b.n <= a.n + a.n // 9 + 1
+WHERE levenshtein(a.c0, b.c0) <= greatest(a.n, b.n) // 10), near AS MATERIALIZED (SELECT ta, tb FROM y WHERE {" AND ".join(f"levenshtein(a{i}, b{i}) <= most" for i in range(3))}),
+links AS (SELECT a.id AS id_eval, a.split, a.source, b.id AS id_train FROM near JOIN l a ON a.t = ta AND a.split <> 'train' JOIN l b ON b.t = tb AND b.split = 'train')"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"{_NEAR} SELECT DISTINCT least(id_eval, id_train) AS id_a, greatest(id_eval, id_train) AS id_b FROM links",
+    "p1_overlap_counts": f"{_NEAR} SELECT split, source, count(DISTINCT id_eval) AS n_records, count(*) AS n_pairs FROM (SELECT DISTINCT id_eval, id_train, split, source FROM links) GROUP BY ALL",
+    "p1_record_links": f"""{_NEAR}, n AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id_eval, id_train, unnest([id_eval, id_train]) AS id FROM links) GROUP BY id)
+SELECT id, min(id) OVER (PARTITION BY t, split = 'train') AS class_id, coalesce(n, 0) AS n_links FROM (SELECT DISTINCT id, split, t FROM l WHERE length(t) >= 40) LEFT JOIN n USING (id)""",
     "p4_counted_documents": "SELECT doc_id, n_tokens FROM token_counts",
     "p5_found": f"{_FORMS} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p5_copy_counts": f"{_FORMS} SELECT DISTINCT keep_id, n AS n_copies FROM g WHERE n > 1",
