@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,34 @@ def pick(options: Column, u: Column) -> Column:
     return F.element_at(options, (F.floor(u * F.size(options)) + 1).cast("int"))
 
 
+PRIME = (1 << 31) - 1
+
+
+def number(*parts: Column | str) -> Column:
+    """The digest's first 60 bits."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("long")
+
+
+def _mixer(salt: str, name: str) -> tuple[int, int]:
+    h = hashlib.sha256(f"{salt}:{name}".encode()).digest()
+    return int.from_bytes(h[:4], "big") % (PRIME - 1) + 1, int.from_bytes(h[4:8], "big") % PRIME
+
+
+def ordered(names: tuple[str, ...], n: Column, salt: str) -> Column:
+    """Fixed names in an order that follows from the number n of a row: one multiplication a name instead of a digest."""
+    keyed = [F.struct(((n % PRIME) * a + b) % PRIME, F.lit(x)) for x in names for a, b in [_mixer(salt, x)]]
+    return F.transform(F.array_sort(F.array(*keyed)), lambda x: x["col2"])
+
+
+def sql_number(*parts: str) -> str:
+    return f"('0x' || substr({sql_digest(*parts)}, 1, 15))::BIGINT"
+
+
+def sql_ordered(names: tuple[str, ...], n: str, salt: str) -> str:
+    each = ", ".join(f"{{'k': (({n} % {PRIME}) * {a} + {b}) % {PRIME}, 'v': '{x}'}}" for x in names for a, b in [_mixer(salt, x)])
+    return f"list_transform(list_sort([{each}]), lambda x: x.v)"
+
+
 def sql_digest(*parts: str) -> str:
     return f"sha256(concat_ws(':', {', '.join(parts)}))"
 

@@ -33,7 +33,7 @@ LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; the JVM functions have none. Null stays null."""
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 def clean(text: Column) -> Column:

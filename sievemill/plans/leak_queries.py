@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import text as X
 from sievemill.operators import leakage as L
 from sievemill.plans.registry import query
+from sievemill.plans.render_queries import W
 
 # Units of every record, once; the checks below are written over these three relations.
 _U = f"u AS MATERIALIZED (SELECT ord, source, split, unnest({X.sql_units('nfc_normalize(context)', 'type', 'nfc_normalize(question)', 'list_transform(view.text, lambda v: nfc_normalize(v))')}) AS unit FROM records)"
@@ -87,10 +88,10 @@ def drop_examples(t):
 @query("""SELECT DISTINCT i.q_native.question.instructions AS instructions FROM probe_items i
 WHERE EXISTS (SELECT 1 FROM records r WHERE r.split = 'train' AND r.question = i.q_native.question.instructions)""")
 def collide_instructions(t):
-    from sievemill.operators.rendering import collisions
+    from sievemill.operators.rendering import same_texts
 
     found = t.probe_items.select(F.col("q_native.question.instructions").alias("instructions"))
-    return collisions(found, t.records.where("split = 'train'").select(F.regexp_replace("question", r"([\\.\[\]{}()*+?^$|])", r"\\$1").alias("pattern")))
+    return same_texts(found, t.records.where("split = 'train'").select("question"))
 
 
 @query(f"""SELECT DISTINCT o FROM (SELECT DISTINCT unnest(options) AS o FROM records WHERE split = 'train') WHERE {X.sql_norm_key('o')} IN
@@ -155,10 +156,18 @@ def join_licences(t):
     return t.datasets.select("key", "license").join(F.broadcast(t.licenses.withColumnRenamed("key", "license")), "license", "left").select("key", "class", "share_alike")
 
 
-@query("SELECT task, lang FROM (SELECT DISTINCT type AS task FROM records), (VALUES ('zh'), ('en')) v(lang)")
+# The wording's instructions and languages, those with an argument or without.
+_PAIRS = f"SELECT unnest({[k for k in W.asked]}) AS task"
+
+
+@query(f"SELECT task, v.lang, count(r.ord) AS n FROM ({_PAIRS}) CROSS JOIN (VALUES ('zh'), ('en')) v(lang) LEFT JOIN records r ON r.view.task = task AND r.lang = v.lang GROUP BY ALL")
 def join_templates(t):
+    """Every task in every language, by a cross join of two lists written by hand, with the records that could be asked so."""
+    spark = t.spark
+    tasks = spark.createDataFrame([(k,) for k in W.asked], "task string")
     langs = F.explode(F.array(F.lit("zh"), F.lit("en"))).alias("lang")
-    return t.records.select(F.col("type").alias("task")).distinct().select("task", langs)
+    r = t.records.select(F.col("view.task").alias("task"), "lang", "ord")
+    return tasks.select("task", langs).join(r, ["task", "lang"], "left").groupBy("task", "lang").agg(F.count("ord").alias("n"))
 
 
 @query("""SELECT source, 'missing' AS state FROM (SELECT key AS source FROM datasets EXCEPT SELECT source FROM records) UNION ALL

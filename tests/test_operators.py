@@ -213,24 +213,48 @@ def test_nested_strings(spark):
     assert [r["value"] for r in nested.instructions(df, "t").collect()] == ["do"]
 
 
+def _wording(spark):
+    from sievemill.plans.wording import ROWS
+
+    return rendering.Wording.read(spark.createDataFrame(ROWS, "what string, key string, lang string, n int, texts array<string>"))
+
+
 def test_rendering_keeps_ids_and_answers(spark):
-    rows = [{"id": f"i{i}", "type": "choice", "options": ["poor", "weak", "fair"], "label": i % 3, "view": ("pair", ["one", "two"], "choice", None), "lang": "zh" if i % 2 else "en"} for i in range(60)]
+    rows = [{"id": f"i{i}", "type": "choice", "options": ["poor", "weak", "fair"], "label": i % 3, "view": ("pair", ["one", "two"], "choice", "arg"), "lang": "zh" if i % 2 else "en"} for i in range(60)]
     rows += [{"id": "null", "view": None}, {"id": "odd", "view": ("nothing known", ["x"], "choice", None)}, {"id": "none", "lang": None, "view": ("pair", ["x"], "choice", None)}]
-    df = records(spark, rows)
-    out = {r["id"]: r for r in rendering.variants(rendering.render(df)).collect()}
+    df, w = records(spark, rows), _wording(spark)
+    out = {r["id"]: r for r in rendering.variants(rendering.render(df, w), w, 0.5).collect()}
     assert len(out) == 63 and not any(out[k]["rendered"] for k in ("null", "odd", "none"))
     done = [r for r in out.values() if r["rendered"]]
-    assert 10 < len(done) < 50 and all(r["texts"] == ["one", "two"] and len(r["fields"]) == 2 and "`" in r["instruction"] for r in done)
+    assert 10 < len(done) < 50 and all(r["texts"] == ["one", "two"] and len(r["fields"]) == 2 and "`" in r["instruction"] and "{" not in r["instruction"] for r in done)
     same = dict(zip(["poor", "weak", "fair"], ["差", "较差", "中等"]))
     assert all(r["written_options"] in (list(same), list(same.values())) for r in done)
+    assert {r["shape"] for r in done} == {"plain", "keyed"} and all(r["shape_keys"] == ["A", "B", "C"] for r in done if r["shape"] == "keyed")
     for r, o in zip(df.collect(), rendering.shuffle(df).orderBy("ord").collect()):
         assert r["id"] == o["id"] and (r["options"] is None or r["options"][r["label"]] == o["options"][o["label"]])
 
 
+def test_shapes_of_levels_and_answers(spark):
+    levels = ["very low", "low", "medium", "high", "very high"]
+    rows = [{"id": f"s{i}", "type": "score", "options": levels, "label": i % 5, "view": ("comment", ["one"], "score", None)} for i in range(40)]
+    rows += [{"id": f"n{i}", "type": "noul", "label": i % 2, "view": ("comment", ["one"], "noul", None)} for i in range(60)]
+    df, w = records(spark, rows), _wording(spark)
+    out = rendering.variants(rendering.render(df, w, 1.0), w, 1.0).collect()
+    assert {r["shape"] for r in out} == {"merged", "named", "yes_no"}
+    for r in out:
+        if r["shape"] == "merged":
+            assert len(r["shape_options"]) == 3 and r["shape_label"] == [0, 0, 1, 2, 2][r["label"]]
+        else:
+            assert r["shape_options"][r["shape_label"]] in [w.answers[k][r["label"]] for k in ("en", "zh")]
+
+
 def test_template_collisions(spark):
-    found = spark.createDataFrame([("Pick the label that fits `state`.",), ("Something else.",), ("Plain one.",), (None,)], "instructions string")
-    p = spark.createDataFrame([(x,) for x in [*rendering.patterns(), r"Plain\ one\.", r"Is .+ so\?"]], "pattern string")
-    assert {r[0] for r in rendering.collisions(found, p).collect()} == {"Pick the label that fits `state`.", "Plain one."}
+    found = spark.createDataFrame([("Name the option that goes with `state`.",), ("Something else.",), ("Plain `a` one.",), (None,)], "instructions string")
+    templates = [*rendering.patterns(_wording(spark)), r"Is .+ so\?"]
+    assert {r[0] for r in rendering.collisions(found, templates).collect()} == {"Name the option that goes with `state`."}
+    assert rendering.collisions(found, []).count() == 0
+    asked = spark.createDataFrame([("Plain `b` one.",), (None,)], "question string")
+    assert {r[0] for r in rendering.same_texts(found, asked).collect()} == {"Plain `a` one."}
 
 
 def test_governance(spark):

@@ -106,11 +106,74 @@ def test_other_shapes(spark):
     assert len(got) == 1 and got["r/train/1"]["context"] == "User: prom…\n\nAssistant: reply" and got["r/train/1"]["label"] == 4
 
 
+def test_answers_by_number_key_and_column(spark):
+    s = convert.declared("x", "zh", "multiple_choice", {"question": "q", "label": "y"}, choices=("a", "b"), base=0)
+    got = build(spark, s, [("q", "one", "two", 0, "test", "1"), ("q", "one", "two", 1, "test", "2"), ("q", "one", "two", 2, "test", "3"), ("q", "one", None, 0, "test", "4")], "q string, a string, b string, y int")
+    assert {k: (r["label"], r["options"]) for k, r in got.items()} == {"x/test/1": (0, ["one", "two"]), "x/test/2": (1, ["one", "two"])}
+    s = convert.declared("k", "en", "multiple_choice", {"question": "q", "options": "c.text", "keys": "c.label", "label": "y"})
+    got = build(spark, s, [("q", (["X", "Y"], ["one", "two"]), "Y", "test", "1")], "q string, c struct<label: array<string>, text: array<string>>, y string")
+    assert got["k/test/1"]["label"] == 1 and got["k/test/1"]["options"] == ["one", "two"]
+
+
+def test_ratings_on_their_own_scale_and_skew(spark):
+    s = convert.declared("h", "en", "rated", {"prompt": "p", "reply": "r"}, ("0", "1", "2", "3", "4"), second=("a", "b"), scale=(0.0, 4.0), first=1.0, question="By {}?")
+    got = build(spark, s, [("p", "r", x, None, "train", str(x)) for x in range(5)] + [("p", "r", None, 3, "train", "b"), ("p", "r", None, None, "train", "none")], "p string, r string, a int, b int")
+    assert {k: r["label"] for k, r in got.items()} == {**{f"h/train/{x}": x for x in range(5)}, "h/train/b": 3} and got["h/train/b"]["question"] == "By b?"
+    s = convert.declared("o", "en", "rated", {"prompt": "p", "reply": "r", "ratings": "x", "group": "g"}, ("0", "1"), second=("a", "b", "c"), extras=True)
+    x = lambda b: [("a", 0.1, 2), ("b", b, 2), ("c", 0.2, 2), ("d", 0.1, 9)]
+    got = build(spark, s, [("p", "r", x(0.9 if i else 0.1), "tree", "train" if i < 9 else "test", str(i)) for i in range(10)], "p string, r string, x array<struct<name: string, value: double, count: int>>, g string")
+    # Nearly all of b's ratings are of the top level, so it isn't among the further attributes.
+    assert set(got) == {f"o/train/{i}{t}" for i in range(9) for t in ("", "/c")} | {"o/test/9"}
+    assert got["o/train/1"]["grp"] == "tree" and got["o/test/9"]["grp"] is None
+
+
+def test_names_samples_and_bins(spark):
+    with pytest.raises(ValueError, match="names"):
+        build(spark, next(s for s in convert.SOURCES if s.source == "banking77_en"), [("t", "1", "train", "1")], "text string, label string")
+    s = convert.named(convert.declared("l", "en", "labelled", {"text": "t", "label": "y"}, sample={"train": 7}), ("a", "b"))
+    got = build(spark, s, [(f"t{i}", "ab"[i % 2], "train" if i < 20 else "test", str(i)) for i in range(25)], "t string, y string")
+    assert sum("train" in k for k in got) == 7 and sum("test" in k for k in got) == 5
+    s = convert.declared("c", "en", "binned", {"text": "t", "number": "x"}, ("low", "high"), edges=(0.5,), per_bin={"train": 3}, cuts=(2, 4))
+    got = build(spark, s, [("t" * (1 + i % 2 + i % 3), i / 30, "train", str(i)) for i in range(30)], "t string, x double")
+    assert 0 < len(got) <= 6 and all(2 <= len(r["context"]) <= 4 for r in got.values())
+
+
 def test_declared_sources_are_well_formed():
     assert len({s.source for s in convert.SOURCES}) == len(convert.SOURCES) == 27
     assert all(s.shape in convert.SHAPES for s in convert.SOURCES)
 
 
+@pytest.mark.parametrize("source", [s.source for s in convert.SOURCES])
+def test_every_declared_source_converts(spark, source):
+    """Rows with just the declared columns give records, whatever the branch."""
+    s = next(x for x in convert.SOURCES if x.source == source)
+    if s.shape in ("labelled", "intents", "dialogue", "topical", "paper", "emotions"):
+        s = convert.named(s, tuple(f"n{i}" for i in range(14)), ("s1", "s2", "s3", "s4", "s5"))
+    kinds = {"label": "string", "labels": "array<string>", "second": "string", "domains": "array<string>", "slots": "array<string>", "keywords": "array<string>", "ratings": "array<struct<name: string, value: double, count: int>>", "number": "double"}
+    cell = {"label": lambda i: "1", "labels": lambda i: ["n1"], "second": lambda i: "s1", "domains": lambda i: ["n1"], "slots": lambda i: ["s1"] if i % 2 else [], "keywords": lambda i: [f"k{i % 3}"], "ratings": lambda i: [("quality", 0.5, 2), ("humor", 0.3, 3)], "number": lambda i: i / 40}
+    roles = {r: c for r, c in s.columns.items() if "." not in c}
+    schema = [f"`{c}` {kinds.get(r, 'string')}" for r, c in roles.items()] + [f"`{c}` string" for c in s.choices]
+    row = lambda i: [cell.get(r, lambda i: f"the text of {r} no {i}")(i) for r in roles] + [f"{c}{i}" for c in s.choices]
+    if any("." in c for c in s.columns.values()):
+        schema.append("choices struct<label: array<string>, text: array<string>>")
+    if s.shape == "passage":
+        schema = [x.replace("`answer` string", "`answer` boolean") for x in schema]
+    if s.shape == "rated" and "ratings" not in s.columns:
+        schema += [f"`{a}` int" for a in s.second]
+    rows = []
+    for i in range(24):
+        r = row(i)
+        if s.shape == "passage":
+            r = [True if c == "answer" else v for c, v in zip(roles.values(), r)]
+        if any("." in c for c in s.columns.values()):
+            r.append((["0", "1"], [f"a{i}", f"b{i}"]))
+        if s.shape == "rated" and "ratings" not in s.columns:
+            r += [i % 5] * len(s.second)
+        rows.append((*r, ("train", "dev", "test")[i % 3], str(i)))
+    got = convert.convert(s, spark.createDataFrame(rows, ", ".join([*schema, "split string", "row string"]))).collect()
+    assert got and all(r["id"].startswith(s.source) and (r["options"] is None or 0 <= r["label"] < len(r["options"])) for r in got)
+
+
 def test_stream_drops_copies_and_leaks(spark, tmp_path):
     cols = "id string, source string, split string, question string, options array<string>, context string, loaded_at timestamp"
     rows = [(str(i), "s", "train", "q", None, f"some long context {i % 5}", None) for i in range(20)]
