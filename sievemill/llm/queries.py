@@ -45,6 +45,14 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(*(table(spark, sf_dir, t) for t in ("records", "mix_targets", "tok_merges")))[1]
 
 
+def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report says of each target: its records, and whether no record is used more often than it may be."""
+    used, report = mixing.mixture(*(table(spark, sf_dir, t) for t in ("records", "mix_targets", "tok_merges")))
+    most = used.groupBy("source", "lang").agg(F.max("times").alias("most"))
+    r = report.join(most, ["source", "lang"], "left")
+    return r.select("source", "lang", "target_share", "n_records", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within"), (F.abs(F.coalesce("share_of_present", F.lit(0.0)) - F.col("actual_share")) < 1).alias("shared"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.copies(table(spark, sf_dir, "records"))
 
@@ -68,6 +76,15 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).select("spec_name", F.col("id").cast("long").alias("doc_id"), "piece", F.col("n").alias("n_tokens"), "container")
 
 
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents of known length: their tokens in all containers, their pieces, and the containers that hold more than they can."""
+    packed, specs = _packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes")
+    over = packed.groupBy("spec_name", "container").agg(F.sum("n").alias("held")).join(specs, "spec_name").where("held > capacity_tokens").groupBy("spec_name").agg(F.count("*").alias("over"))
+    known = table(spark, sf_dir, "token_counts").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    own = packed.join(known, "id", "left_semi").groupBy("spec_name", "id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    return own.join(over, "spec_name", "left").select("spec_name", F.col("id").cast("long").alias("doc_id"), "n_tokens", "n_pieces", F.coalesce("over", F.lit(0)).cast("long").alias("n_over"))
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 

@@ -63,6 +63,10 @@ SQL: dict[str, str] = {
     "p1_overlap_counts": f"{_NEAR} SELECT split, source, count(DISTINCT id_eval) AS n_records, count(*) AS n_pairs FROM (SELECT DISTINCT id_eval, id_train, split, source FROM links) GROUP BY ALL",
     "p1_record_links": f"""{_NEAR}, n AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id_eval, id_train, unnest([id_eval, id_train]) AS id FROM links) GROUP BY id)
 SELECT id, min(id) OVER (PARTITION BY t, split = 'train') AS class_id, coalesce(n, 0) AS n_links FROM (SELECT DISTINCT id, split, t FROM l WHERE length(t) >= 40) LEFT JOIN n USING (id)""",
+    "p3_sources": """WITH t AS (SELECT DISTINCT ON (source, lang) source, lang, target_share FROM mix_targets WHERE source IS NOT NULL AND target_share IS NOT NULL), own AS (SELECT source, any_value(lang) AS own FROM t GROUP BY source),
+r AS (SELECT DISTINCT id, source, CASE WHEN length(regexp_extract(lang, '^[A-Za-z]+')) >= 2 THEN lower(left(regexp_extract(lang, '^[A-Za-z]+'), 2)) ELSE own END AS lang FROM records JOIN own USING (source) WHERE id IS NOT NULL AND regexp_matches(context, '[^\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')),
+n AS (SELECT source, lang, count(*) AS n FROM r GROUP BY ALL) SELECT source, lang, target_share, coalesce(n, 0) AS n_records, true AS within, true AS shared FROM t LEFT JOIN n USING (source, lang)""",
+    "p6_pieces": "SELECT spec_name, doc_id, n_tokens, greatest(1, ceil(n_tokens / capacity_tokens))::BIGINT AS n_pieces, 0 AS n_over FROM token_counts, pack_sizes",
     "p4_counted_documents": "SELECT doc_id, n_tokens FROM token_counts",
     "p5_found": f"{_FORMS} SELECT keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p5_copy_counts": f"{_FORMS} SELECT DISTINCT keep_id, n AS n_copies FROM g WHERE n > 1",
