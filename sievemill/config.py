@@ -70,3 +70,29 @@ def tasks_for(all_tasks: list[str], optional: dict[str, list[str]], config: dict
 
     off = {t for path, ts in optional.items() if not on(path) for t in ts}
     return [t for t in all_tasks if t not in off]
+
+
+def resume_hash(config: dict, operational: set[str], neutral: dict[str, object] = {}) -> str:  # noqa: B006
+    """What two runs must share for one to go on from the other: the hash without operational settings, such as folders and limits of time, and
+    without settings that still have the value (neutral) under which they change nothing, so that a setting added later breaks no old run."""
+
+    def at(path: str):
+        x = config
+        for k in path.split("."):
+            x = x.get(k) if isinstance(x, dict) else None
+        return x
+
+    return config_hash(config, set(operational) | {p for p, v in neutral.items() if at(p) is None or at(p) == v})
+
+
+def train_rows(sizes: dict[str, int], key: str, default: int) -> int:
+    """How many training rows of a source are drawn: the number set for it, else the default; a larger set number switches the source to its larger draw."""
+    n = sizes.get(key, default)
+    if n < 0:
+        raise ValueError(f"{key}: {n} rows")
+    return n
+
+
+def split_note(splits: dict[str, str], sizes: dict[str, int], key: str) -> str:
+    """Where a source's splits come from, and what was set for its training draw."""
+    return splits.get(key, "as published") + (f"; training draw of {sizes[key]:,} rows" if key in sizes else "")

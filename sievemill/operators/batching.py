@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.hashing import uniform
 
-PART = 50_000
+BUCKETS = 1024
 
 
 def padded(n: Column, multiple: int = 32) -> Column:
@@ -46,14 +46,15 @@ def pooled(items: DataFrame, total: int, size: int, pool: int = 50, most: int =
 
 
 def by_length(items: DataFrame, size: int, most: int, multiple: int = 32) -> DataFrame:
-    """items (id, n) with wide, part and batch for inference: items of one padded length share batches, as many as fit. A length
-    with very many items is cut into parts by hash, so that no task sorts them all."""
-    i = items.withColumn("wide", F.greatest(padded(F.col("n"), multiple), F.lit(multiple)))
-    parts = i.groupBy("wide").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    i = i.join(F.broadcast(parts), "wide").withColumn("part", F.pmod(F.crc32(F.col("id").cast("string")), F.col("parts")))  # a row per padded length
+    """items (id, n) with wide and batch for inference: items of one padded length share batches, as many as fit, in the order of length, a hash of the id,
+    and id. Places are counted over length and hash first, so that no task sorts all items of a width."""
+    i = items.withColumn("wide", F.greatest(padded(F.col("n"), multiple), F.lit(multiple))).withColumn("_b", F.floor(uniform("place", F.col("id")) * BUCKETS).cast("int"))
+    keys = ["wide", "n", "_b"]
+    sizes = i.groupBy(*keys).agg(F.count("*").alias("_c"))
+    before = sizes.select(*keys, (F.sum("_c").over(W.partitionBy("wide").orderBy("n", "_b")) - F.col("_c")).alias("_before"))  # multiple x BUCKETS rows a width at most
     fits = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(most) / F.col("wide"))))
-    rn = F.row_number().over(W.partitionBy("wide", "part").orderBy("n", "id"))
-    return i.withColumn("batch", F.floor((rn - 1) / fits).cast("long")).drop("parts")
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*keys).orderBy("id")) - 1
+    return i.join(before, keys).withColumn("batch", F.floor(place / fits).cast("long")).select(*items.columns, "wide", "batch")
 
 
 def worst(batches: DataFrame, *by: str) -> DataFrame:
@@ -67,9 +68,17 @@ def pad(a: Column, width: Column, value: Column) -> Column:
     return F.concat(a, F.array_repeat(value, (width - F.size(a)).cast("int")))
 
 
-def plan(batches: DataFrame, key: Column, epochs: int, seed: str = "13") -> DataFrame:
-    """The batches of every epoch in an order of its own, u."""
-    return batches.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("u", uniform(seed, F.col("epoch"), key))
+def plan(batches: DataFrame, key: Column, epochs: int, seed: str = "13", max_steps: int | None = None) -> DataFrame:
+    """The batches of every epoch in an order of its own, u; with max_steps only the first so many, numbered as step."""
+    p = batches.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("u", uniform(seed, F.col("epoch"), key))
+    if max_steps is None:
+        return p
+    first = p.withColumn("_k", key).orderBy("epoch", "u", "_k").limit(max_steps)
+    return first.withColumn("step", F.row_number().over(W.orderBy("epoch", "u", "_k")) - 1).drop("_k")  # max_steps rows
+
+
+def epochs_needed(n_batches: int, max_steps: int) -> int:
+    return max(1, math.ceil(max_steps / max(1, n_batches)))
 
 
 def learning_rate(step: Column, steps: int, warmup: int, top: float, floor: float = 0.0) -> Column:

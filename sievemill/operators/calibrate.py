@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,29 +19,52 @@ def grid() -> list[float]:
     return [math.exp(math.log(LO) + i * (math.log(HI) - math.log(LO)) / (GRID - 1)) for i in range(GRID)]
 
 
-def row_nll(z: Column, gold: Column, t: Column) -> Column:
-    """Negative log of the gold's softmax at temperature t."""
-    top = F.array_max(z)
-    return F.ln(A.total(F.transform(z, lambda x: F.exp((x - top) / t)))) - (F.get(z, gold) - top) / t
+def losses(z: list[np.ndarray], gold: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Negative log of the gold's softmax, per temperature (of all rows alike, or per row) and row."""
+    n = np.fromiter(map(len, z), np.int64, len(z))
+    flat, start = np.concatenate(z), np.cumsum(n) - n
+    top = np.maximum.reduceat(flat, start)
+    out = np.empty((t.shape[-1], len(z)))
+    for k in range(t.shape[-1]):
+        at = t[:, k]
+        out[k] = np.log(np.add.reduceat(np.exp((flat - np.repeat(top, n)) / np.repeat(at, n)), start)) - (flat[start + gold] - top) / at
+    return out
+
+
+def _sums(by: str, candidates: dict):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = b[by].to_pylist()
+            z, gold = [np.asarray(x, float) for x in b["z"].to_pylist()], b["gold"].to_numpy(zero_copy_only=False).astype(np.int64)
+            t = np.array([candidates[g] for g in group])
+            loss = losses(z, gold, t)
+            names, which = np.unique(group, return_inverse=True)
+            sums = np.stack([np.bincount(which, row, len(names)) for row in loss])
+            counts = np.bincount(which, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, t.shape[1]).tolist(), pa.string()), pa.array(np.tile(np.arange(t.shape[1]), len(names)), pa.int32()), pa.array(sums.T.ravel()), pa.array(np.repeat(counts, t.shape[1]))], names=["g", "k", "loss", "n"])
+
+    return run
 
 
 def fit(rows: DataFrame, by: str) -> DataFrame:
     """The temperature per group of rows (by, z, gold) that minimises the mean log loss: a logarithmic grid, then three
-    rounds around the best. Each round is one aggregation with the temperatures as an array beside each row; the best so far
-    is one row per group. Groups under ten rows get 1. Ties go to the smaller temperature."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
-
-    def best(candidates: Column, with_t: DataFrame) -> DataFrame:
-        each = with_t.select(by, "z", "gold", F.explode(candidates).alias("t"))
-        loss = each.groupBy(by, "t").agg(F.avg(row_nll(F.col("z"), F.col("gold"), F.col("t"))).alias("loss"))
-        return loss.groupBy(by).agg(F.min_by("t", F.struct("loss", "t")).alias("best"))
-
-    t = best(F.array(*map(F.lit, grid())), rows)
-    for _ in range(ROUNDS):
-        lo, hi = F.col("best") / NEAR, F.col("best") * NEAR
-        t = best(F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: lo + (hi - lo) * i / (FINE - 1)), rows.join(t, by))
-    clamped = F.greatest(F.lit(LO), F.least(F.lit(HI), F.col("best")))
-    return sizes.join(t, by, "left").select(by, "n", F.when(F.col("n") < LEAST, 1.0).otherwise(clamped).alias("t"))
+    rounds around the best. A round is one pass that gives a sum per task, group and temperature; no row is copied. Groups
+    are types or buckets, a dozen, so each round's temperatures are the driver's. Groups under ten rows get 1. Ties go to the smaller temperature. Rows without
+    logits, group or gold take no part."""
+    r = rows.where(F.col(by).isNotNull() & (F.size("z") > 0) & F.col("gold").between(0, F.size("z") - 1)).select(by, "z", "gold")
+    sizes = {x[by]: x["n"] for x in r.groupBy(by).agg(F.count("*").alias("n")).collect()}  # a row per group
+    candidates = {g: grid() for g in sizes}
+    best: dict[str, float] = {}
+    for left in range(ROUNDS, -1, -1):
+        sums = r.mapInArrow(_sums(by, candidates), "g string, k int, loss double, n long").groupBy("g", "k").agg((F.sum("loss") / F.sum("n")).alias("loss")).collect()  # GRID rows per group
+        for g in sizes:
+            best[g] = min((x["loss"], candidates[g][x["k"]]) for x in sums if x["g"] == g)[1]
+        if left:
+            candidates = {g: [lo + (hi - lo) * i / (FINE - 1) for i in range(FINE)] for g, t in best.items() for lo, hi in [(t / NEAR, t * NEAR)]}
+    out = [(g, n, 1.0 if n < LEAST else max(LO, min(HI, best[g]))) for g, n in sizes.items()]
+    return rows.sparkSession.createDataFrame(out, f"`{by}` string, n long, t double")
 
 
 def bucket(qtype: Column, k: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievemill.functions import grams as G
 from sievemill.functions import text as X
 from sievemill.session import spread, stored
 
@@ -52,9 +53,20 @@ def probe_units(items: DataFrame) -> DataFrame:
     return pieces.select("source", X.norm_key(F.col("p")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
 
 
-def unit_rows(records: DataFrame) -> DataFrame:
-    """ord, split and unit, a row per unit, written once for all the checks that read it."""
-    return stored(_units(records), "units")
+def unit_rows(records: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """ord, split and unit, a row per unit, written once for all the checks that read it. `more` (ord, units) has further texts of a record, such as the
+    raw fields a converter made it from; they become units like its own."""
+    rows = _units(records)
+    if more is not None:
+        extra = records.select("ord", "split").join(more, "ord").select("ord", "split", F.explode("units").alias("part")).select("ord", "split", X.norm_key(F.col("part")).alias("unit"))
+        rows = rows.unionByName(extra.where(F.length("unit") >= X.MIN_UNIT)).distinct()
+    return stored(rows, "units")
+
+
+def external_units(texts: DataFrame) -> DataFrame:
+    """The distinct units of evaluation texts from outside (text), whole and line by line."""
+    t = texts.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))).alias("p"))
+    return t.select(X.norm_key(F.col("p")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT).distinct()
 
 
 def held_out_units(rows: DataFrame) -> DataFrame:
@@ -70,30 +82,48 @@ def overlapping(rows: DataFrame, units: DataFrame) -> DataFrame:
 def contained(rows: DataFrame, texts: DataFrame, least: int = X.MIN_CONTAINED) -> DataFrame:
     """ord of the records a unit of which, of at least `least` characters, stands inside one of texts.doc (keys).
 
-    Of each text every gram of `least` characters is a row; a unit meets the texts that hold its first gram and its last one, and
-    the exact test follows. Each gram is reduced to 64 bits before the join; the test settles the rest."""
-    units = rows.select("unit").where(F.length("unit") >= least).distinct()
-    units = units.withColumn("first", F.xxhash64(F.substring("unit", 1, least))).withColumn("last", F.xxhash64(F.expr(f"right(unit, {least})")))
+    The grams of `least` characters of each text are hashed in one pass over it; of them stay, before anything is paired, those that begin or end a
+    unit. A unit meets the texts that hold its first gram and its last one, through the one of both that fewer texts hold, and the exact
+    test follows."""
+    units = rows.select("unit").where(F.length("unit") >= least).distinct().mapInArrow(G.ends(least), "unit string, first long, last long")
     docs = stored(spread(texts).select("doc").where(F.length("doc") >= least).distinct().withColumn("d", F.monotonically_increasing_id()), "texts")
-    grams = docs.select("d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("doc") - least + 1), lambda i: F.xxhash64(F.substring(F.col("doc"), i, least))))).alias("gram"))
-    both = units.join(grams.withColumnRenamed("gram", "first"), "first").join(grams.withColumnRenamed("gram", "last"), ["last", "d"])
-    hits = both.join(docs, "d").where(F.contains("doc", "unit")).select("unit").distinct()
+    units = stored(units, "unit-ends")
+    known = units.select(F.col("first").alias("gram")).union(units.select(F.col("last").alias("gram"))).distinct()
+    grams = stored(docs.select("d", "doc").mapInArrow(G.all_grams(least), "d long, gram long").join(known, "gram", "left_semi"), "grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = units.join(often.withColumnRenamed("gram", "first").withColumnRenamed("n", "n_first"), "first").join(often.withColumnRenamed("gram", "last").withColumnRenamed("n", "n_last"), "last")
+    seek = F.when(F.col("n_first") <= F.col("n_last"), F.col("first")).otherwise(F.col("last"))
+    other = F.when(F.col("n_first") <= F.col("n_last"), F.col("last")).otherwise(F.col("first"))
+    met = ranked.select("unit", seek.alias("gram"), other.alias("other")).join(grams, "gram").select("unit", "d", F.col("other").alias("gram")).join(grams, ["gram", "d"], "left_semi")
+    hits = met.join(docs, "d").where(F.contains("doc", "unit")).select("unit").distinct()
     return rows.select("ord", "unit").join(hits, "unit", "left_semi").select("ord").distinct()
 
 
-def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame) -> DataFrame:
+def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame, selected: DataFrame | None = None, external: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """Every record with the reason it is dropped for, or 'kept'. Copies go first; a copy of a contaminated record counts as
     a copy only. Held-out units are those of all dev and test records before any drop. Training records go for a unit among
     them or among the probes' (overlap), or for one inside a context of a source in eval_only.source (inside); dev and
-    test records go for a unit among the probes' (probe)."""
+    test records go for a unit among the probes' (probe).
+
+    The evaluation side: without `selected` the dev and test records of every source (mode full); with it only those of the sources in selected.source.
+    `external` (text) adds evaluation texts from outside to the held-out units and to the texts that units may stand inside of. `more` (ord, units) adds
+    the converters' own units to those of the records."""
     probe = probe_units(items).select("unit").distinct()
-    rows = unit_rows(records)
+    rows = unit_rows(records, more)
     train, held = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    side = held
+    if selected is not None:
+        ours = records.select("ord", "source").join(selected.select("source").distinct(), "source", "left_semi")
+        side = held.join(ours.select("ord"), "ord", "left_semi")
+    units = held_out_units(side).unionByName(probe)
     only = records.join(F.broadcast(eval_only.select("source").distinct()), "source", "left_semi")  # eval_only: a column of the dataset list
     texts = only.where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
+    if external is not None:
+        units = units.unionByName(external_units(external))
+        texts = texts.unionByName(external.where("text IS NOT NULL").select(X.norm_key(F.col("text")).alias("doc")))
     marks = [
         (first_ords(records), "first"),
-        (overlapping(train, held_out_units(rows).unionByName(probe)), "overlap"),
+        (overlapping(train, units), "overlap"),
         (contained(train, texts), "inside"),
         (overlapping(held, probe), "probe"),
     ]

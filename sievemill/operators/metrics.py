@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -67,21 +71,36 @@ def summary(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def by_slice(rows: DataFrame) -> DataFrame:
-    """Each row once for every slice it is in, the stored ones or else those its id gives."""
-    stored_ = F.when(F.size("slices") > 0, F.col("slices"))
-    return rows.withColumn("slice", F.explode(F.array_distinct(F.coalesce(stored_, slices_from_id(F.col("id"), F.col("qtype"))))))
+def by_slice(rows: DataFrame, rules: list[SliceRule] | None = None) -> DataFrame:
+    """Each row once for every slice it is in: the stored ones or, where it has none, those its id gives by the rules."""
+    own = F.col("slices") if not rules else F.when(F.size("slices") > 0, F.col("slices")).otherwise(slices_from_id(F.col("id"), F.col("qtype"), rules))
+    return rows.withColumn("slice", F.explode(F.array_distinct(own)))
+
+
+@dataclass(frozen=True)
+class SliceRule:
+    """Ids that a pattern fits, and the slices they are in. In a slice's name {1} to {9} are the pattern's groups, {lang} the language of the source and
+    {qtype} the type; the first rule that fits counts. rank orders slices by the rule they come from."""
+
+    pattern: str
+    slices: tuple[str, ...]
+    rank: int = 0
+
 
+def _filled(name: str, id_: Column, pattern: str, qtype: Column, lang: Column) -> Column:
+    parts = re.split(r"\{(\w+)\}", name)
+    value = lambda k: F.regexp_extract(id_, pattern, int(k)) if k.isdigit() else {"qtype": qtype, "lang": lang}[k]
+    return F.concat(*(value(x) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
 
-def slices_from_id(id_: Column, qtype: Column) -> Column:
-    base, variant = F.substring_index(id_, "#", 1), F.when(F.contains(id_, F.lit("#")), F.substring_index(id_, "#", -1)).otherwise("")
-    src = F.regexp_extract(base, "^([a-z0-9_]+)/(train|dev|test)/", 1)
-    lang = F.when(F.contains(src, F.lit("_zh")), "zh").otherwise("en")
-    say = lambda head, *parts: F.concat(F.lit(head), *parts)
-    fixed = F.array(F.lit("test:fixed:ALL"), say("test:fixed:lang:", lang), say("test:fixed:source:", src), say("test:fixed:qtype:", qtype))
-    test = F.array(F.lit("test:ALL"), say("test:lang:", lang), say("test:source:", src), say("test:qtype:", qtype), say("test:lang:", lang, F.lit("/qtype:"), qtype))
-    other = F.array(F.lit("probe:other"), say("probe:other/qtype:", qtype))
-    return F.when(src == "", other).when(variant == "fixed", fixed).otherwise(test)
+
+def slices_from_id(id_: Column, qtype: Column, rules: list[SliceRule], lang: Column | None = None) -> Column:
+    """The slices of an id by the first rule that fits; none for an id that none fits. Without a language column a source named *_zh or *_zh_* is zh, any other en."""
+    lang = lang if lang is not None else F.when(id_.rlike("^[^/]*_zh(_|/|$)"), "zh").otherwise("en")
+    out = None
+    for r in rules:
+        names = F.array(*(_filled(n, id_, r.pattern, qtype, lang) for n in r.slices))
+        out = F.when(id_.rlike(r.pattern), names) if out is None else out.when(id_.rlike(r.pattern), names)
+    return out.otherwise(F.array().cast("array<string>")) if out is not None else F.array().cast("array<string>")
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -111,18 +130,20 @@ def mean_ci(rows: DataFrame, value: Column, cluster: Column, *by: str) -> DataFr
     return agg.select(*by, "n", "clusters", "mean", (m - Z95 * se).alias("lo"), (m + Z95 * se).alias("hi"))
 
 
-def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact p of the discordant counts: twice the lower tail of a fair binomial, at most 1. Terms follow from
-    each other by log(n - i) - log(i + 1), and the largest, the last, is taken out so that none underflows."""
-    n, m = b + c, F.least(b, c)
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(0), F.greatest(x, F.lit(0)).cast("int")), F.lit(0.0), lambda s, i: s + F.ln(F.greatest(i, F.lit(1))))
-    top = log_fact(n) - log_fact(m) - log_fact(n - m) - n * F.ln(F.lit(2.0))
-    down = F.aggregate(
-        F.sequence(F.lit(0), m.cast("int")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
-        lambda s, j: F.struct((s["term"] * (m - j) / (n - m + j + 1)).alias("term"), (s["total"] + s["term"]).alias("total")),
-    )["total"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * down))
+@F.pandas_udf("double")
+def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
+    """Two-sided exact p of the discordant counts: twice the lower tail of a fair binomial, at most 1. The tail's largest term comes
+    from log-gamma, the others by their ratios, so far as they count: some multiple of the deviation, whatever the counts are. One row per group."""
+
+    def p(b: float, c: float) -> float:
+        n, m = b + c, min(b, c)
+        if n == 0:
+            return 1.0
+        top = math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1) - n * math.log(2)
+        j = np.arange(min(m, 40 + 20 * math.sqrt(n)))
+        return min(1.0, 2 * math.exp(top) * (1 + float(np.exp(np.cumsum(np.log((m - j) / (n - m + j + 1)))).sum())))
+
+    return pd.Series([None if pd.isna(x) or pd.isna(y) else p(float(x), float(y)) for x, y in zip(b, c)], dtype="float64")
 
 
 def paired(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
@@ -230,18 +251,26 @@ def macro(parts: DataFrame, label: str) -> DataFrame:
     return out.where("parts >= 2").select(F.lit(label).alias("average"), "parts", "acc", "lo", "hi")
 
 
-def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+def compared(a: DataFrame, b: DataFrame, rules: list[SliceRule] | None = None) -> DataFrame:
     """Slices of both prediction sets with their status and, where the items are the same, the paired comparison."""
-    x, y = by_slice(a), by_slice(b)
+    x, y = by_slice(a, rules), by_slice(b, rules)
     prints = fingerprint_sum(x, "slice").withColumnRenamed("fingerprint", "fa").join(fingerprint_sum(y, "slice").withColumnRenamed("fingerprint", "fb"), "slice", "full")
     status = F.when(F.col("fb").isNull(), "only in A").when(F.col("fa").isNull(), "only in B").when(F.col("fa") == F.col("fb"), "same items").otherwise("items differ")
     return paired(x, y, "slice").join(prints.select("slice", status.alias("status")), "slice")
 
 
-def slice_rank(s: Column) -> Column:
-    """Held-out aggregates first, then the fixed rendering, probes, single sources."""
-    held = s.startswith("test:") & ~s.startswith("test:source:") & ~s.startswith("test:src:") & ~s.startswith("test:fixed:")
-    return F.when(held, 1).when(s.startswith("test:fixed:"), 2).when(s.startswith("probe:"), 3).otherwise(4)
+def slice_rank(s: Column, rules: list[tuple[str, int]], last: int = 99) -> Column:
+    """The rank of the first prefix that a slice's name begins with."""
+    out = None
+    for prefix, rank in rules:
+        out = F.when(s.startswith(prefix), rank) if out is None else out.when(s.startswith(prefix), rank)
+    return F.lit(last) if out is None else out.otherwise(last)
+
+
+def in_order(slices: DataFrame, rank: Column) -> DataFrame:
+    """slices (slice and more) with their place: by rank, then from the general to the special, then by name. A row per slice."""
+    w = W.orderBy(rank, F.size(F.split("slice", "[:/]")), "slice")
+    return slices.withColumn("place", F.row_number().over(w))
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:

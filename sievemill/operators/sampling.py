@@ -73,8 +73,28 @@ def choice_subset(options: Column, gold: Column, kmin: int, kmax: int, *parts: C
     return shuffled(F.concat(others, F.array(gold)), "order", *parts)
 
 
+DRAWS = 8
+
+
 def negatives(rows: DataFrame, pool: DataFrame, group: str, own: str, text: str, *salt: str) -> DataFrame:
-    """For each row one entry of its group's pool (group, entry) that is neither in the array `own` nor inside `text`: the first
-    by digest. Rows for which the pool has none are left out. rows need a column id."""
-    c = rows.join(pool, group).where(~F.array_contains(own, F.col("entry")) & ~F.contains(text, "entry"))
-    return c.groupBy("id").agg(F.min_by("entry", digest(*salt, F.col("id"), F.col("entry"))).alias("negative"))
+    """For each row one entry of its group's pool (group, entry) that is neither in the array `own` nor inside `text`. Of the pool in the order of its
+    digests DRAWS places are drawn by digest, and the first fitting entry is taken, so a row costs DRAWS rows however large the pool is. The few rows that none of
+    them fits get the first fitting entry of the whole pool by digest. Rows for which the pool has none are left out. rows need a column id."""
+    placed = pool.select(group, "entry").where("entry IS NOT NULL").distinct()
+    sizes = placed.groupBy(group).agg(F.count("*").alias("_size"))
+    ranked = placed.withColumn("_i", F.row_number().over(W.partitionBy(group).orderBy(digest(*salt, F.col("entry")), "entry")) - 1)
+    slim = rows.select("id", group, own, text)
+    drawn = slim.join(sizes, group).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_i", F.floor(uniform(*salt, F.col("id"), F.col("_draw")) * F.col("_size")).cast("int"))
+    fits = ~F.array_contains(own, F.col("entry")) & ~F.contains(text, "entry")
+    first = drawn.join(ranked, [group, "_i"]).where(fits).groupBy("id").agg(F.min_by("entry", "_draw").alias("negative"))
+    rest = slim.join(first.select("id"), "id", "left_anti").join(placed, group).where(fits).groupBy("id").agg(F.min_by("entry", digest(*salt, F.col("id"), F.col("entry"))).alias("negative"))
+    return first.unionByName(rest)
+
+
+def sql_negatives(rows: str, pool: str, salt: str) -> str:
+    """The same over rows (id, grp, own, txt) and pool (grp, entry)."""
+    from sievemill.functions.hashing import sql_digest, sql_uniform
+
+    return f"""_p AS MATERIALIZED (SELECT DISTINCT grp, entry FROM {pool} WHERE entry IS NOT NULL), _k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {sql_digest(salt, "entry")}, entry) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM _p),
+_f AS MATERIALIZED (SELECT id, arg_min(entry, d) AS negative FROM (SELECT r.id, r.own, r.txt, k.entry, d FROM {rows} r, range({DRAWS}) x(d), _k k WHERE k.grp = r.grp AND k.i = floor({sql_uniform(salt, "r.id", "d::VARCHAR")} * k.n)) WHERE NOT list_contains(own, entry) AND NOT contains(txt, entry) GROUP BY id),
+negative AS (SELECT * FROM _f UNION ALL SELECT id, arg_min(entry, {sql_digest(salt, "id", "entry")}) FROM {rows} r JOIN _p USING (grp) WHERE id NOT IN (SELECT id FROM _f) AND NOT list_contains(own, entry) AND NOT contains(txt, entry) GROUP BY id)"""

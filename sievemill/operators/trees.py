@@ -34,7 +34,25 @@ def roots(messages: DataFrame) -> DataFrame:
     return done
 
 
-def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """rows with the last value that isn't null among the rows before each, in order within a group."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, coarse: Column) -> DataFrame:
+    """rows with the last value that isn't null among the rows before each, in order within a group.
+
+    `coarse` cuts a group into ranges that follow each other in the same order, such as hours of a time: a range's last value is carried over
+    the ranges of its group first, a row for each, then within the range, so that a task sorts a range and never a whole group."""
+    r = rows.withColumn("_v", value).withColumn("_range", coarse)
+    keys = [F.col(c) for c in by]
+    at = F.struct(*order)
+    last = r.groupBy(*by, "_range").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), at)).alias("_last"))
+    over = W.partitionBy(*by).orderBy(F.col("_range").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(*by, "_range", F.last("_last", ignorenulls=True).over(over).alias("_carried"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_range")]
+    joined = r.alias("a").join(carried.alias("b"), same[0] if len(same) == 1 else _all(same)).select("a.*", "b._carried")
+    within = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return joined.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_carried"))).drop("_v", "_range", "_carried")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out

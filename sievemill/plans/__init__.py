@@ -21,4 +21,4 @@ def all_queries() -> dict:
 
 def all_sql() -> dict:
     _load()
-    return dict(registry.SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in registry.SQL.items()}

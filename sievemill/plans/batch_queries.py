@@ -28,7 +28,9 @@ def batch_pools(t):
     return B.pooled(i, i.count(), SIZE)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY n, id) AS rn, greatest(0, ceil(n / 32)::BIGINT * 32) AS wide FROM {_POOL}),
+c AS (SELECT id, n, pool, rn, 0 AS batch, 1 AS held FROM s WHERE rn = 1 UNION ALL SELECT s.id, s.n, s.pool, s.rn, CASE WHEN c.held + 1 > {SIZE} OR (c.held + 1) * s.wide > 4096 THEN c.batch + 1 ELSE c.batch END,
+CASE WHEN c.held + 1 > {SIZE} OR (c.held + 1) * s.wide > 4096 THEN 1 ELSE c.held + 1 END FROM c JOIN s ON s.pool = c.pool AND s.rn = c.rn + 1) SELECT id, n, pool, batch FROM c""")
 def batch_pools_capped(t):
     i = _items(t)
     return B.pooled(i, i.count(), SIZE, most=4096)
@@ -63,10 +65,15 @@ def batch_collate(t):
     return j.select("id", "scored_at", B.pad(F.col("probs"), F.col("k"), F.lit(0.0)).alias("probs"), B.pad(F.transform("probs", lambda x: F.lit(1)), F.col("k"), F.lit(0)).alias("mask"))
 
 
-@query(f"""SELECT epoch, source, round({sql_uniform("'13'", "epoch::VARCHAR", "source")}, 12) AS u FROM (SELECT DISTINCT source FROM records), (VALUES (0), (1), (2)) e(epoch)""")
+_BATCHES = f"(SELECT DISTINCT pool, (row_number() OVER (PARTITION BY pool ORDER BY n, id) - 1) // {SIZE} AS batch FROM {_POOL})"
+
+
+@query(f"""SELECT epoch, pool, batch::INT AS batch, (row_number() OVER (ORDER BY epoch, u, k) - 1)::INT AS step FROM (SELECT *, {sql_uniform("'13'", "epoch::VARCHAR", "k")} AS u FROM (SELECT *, concat_ws('/', pool, batch) AS k FROM {_BATCHES}), (VALUES (0), (1), (2)) e(epoch)) QUALIFY step < 700""")
 def batch_plan(t):
-    s = t.records.select("source").distinct()
-    return B.plan(s, F.col("source"), 3).select("epoch", "source", F.round("u", 12).alias("u"))
+    """Three epochs of the batches, each shuffled anew, cut off after 700 steps."""
+    i = _items(t)
+    b = B.pooled(i, i.count(), SIZE).select("pool", "batch").distinct()
+    return B.plan(b, F.concat_ws("/", "pool", "batch"), 3, max_steps=700).select("epoch", "pool", "batch", "step")
 
 
 @query("SELECT step, rank, (step * 4 + rank) % 23 AS batch FROM range(100) s(step), range(4) r(rank)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import text as X
 from sievemill.functions.hashing import hash_split, sql_digest, sql_number, sql_ordered, sql_uniform
+from sievemill.operators.sampling import sql_negatives
 from sievemill.plans.registry import query
 from sievemill.sources.convert import Spec, convert
 
@@ -177,9 +178,9 @@ def convert_dialogue(t):
 
 
 @query(f"""WITH r AS MATERIALIZED (SELECT *, CASE WHEN length(reply) > 80 THEN 'long' ELSE 'short' END AS kind, keywords[1] AS disc, {_u(PAPER, 'form')} AS u, {_u(PAPER, 'positive')} < 0.5 AS yes, {_u(PAPER, 'k')} AS uk, {_n(PAPER)} AS num FROM {_CHAT}),
-pool AS (SELECT DISTINCT kind, unnest(keywords) AS entry FROM r), neg AS (SELECT row, arg_min(entry, {sql_digest("'13'", "'messages_paper'", "split || '/' || row", "entry")}) AS negative FROM r JOIN pool USING (kind) WHERE NOT list_contains(keywords, entry) AND NOT contains(a || chr(10) || b, entry) GROUP BY row),
-f AS (SELECT *, CASE WHEN split = 'test' OR u < 0.5 THEN 1 WHEN u < 0.75 AND disc IS NOT NULL THEN 2 END AS form, CASE WHEN yes THEN keywords[1 + floor({_u(PAPER, 'keyword')} * len(keywords))::INT] ELSE negative END AS asked FROM r LEFT JOIN neg USING (row))
-SELECT id, type, asked, CASE type WHEN 'noul' THEN yes::INT ELSE list_position(options, CASE form WHEN 1 THEN kind ELSE disc END) - 1 END AS label FROM (SELECT {_id(PAPER)}, *, CASE WHEN form IS NULL THEN 'noul' ELSE 'choice' END AS type,
+_r AS (SELECT split || '/' || row AS id, kind AS grp, keywords AS own, a || chr(10) || b AS txt FROM r), {sql_negatives("_r", "(SELECT grp, unnest(own) AS entry FROM _r)", "'13', 'messages_paper'")},
+f AS (SELECT *, CASE WHEN split = 'test' OR u < 0.5 THEN 1 WHEN u < 0.75 AND disc IS NOT NULL THEN 2 END AS form, CASE WHEN yes THEN keywords[1 + floor({_u(PAPER, 'keyword')} * len(keywords))::INT] ELSE negative END AS asked FROM r LEFT JOIN negative ON id = split || '/' || row)
+SELECT id, type, asked, CASE type WHEN 'noul' THEN yes::INT ELSE list_position(options, CASE form WHEN 1 THEN kind ELSE disc END) - 1 END AS label FROM (SELECT {_id(PAPER)}, * EXCLUDE (id), CASE WHEN form IS NULL THEN 'noul' ELSE 'choice' END AS type,
 CASE form WHEN 1 THEN {_order(PAPER.names, 'order')} WHEN 2 THEN {_some(ATTRIBUTES, 'disc', 4, 10, 'uk')} END AS options FROM (SELECT * REPLACE (CASE WHEN form IS NULL THEN asked END AS asked) FROM f)) WHERE type = 'choice' OR asked IS NOT NULL""")
 def convert_paper(t):
     rows = _chat(t, F.when(F.length("reply") > 80, "long").otherwise("short").alias("kind"), F.get("keywords", F.lit(0)).alias("second"))

@@ -45,9 +45,12 @@ def leak_overlap(t):
     return L.overlapping(rows.where("split = 'train'"), L.held_out_units(rows))
 
 
-@query(f"WITH {_U}, {_P} SELECT DISTINCT ord FROM u WHERE split <> 'train' AND unit IN (SELECT unit FROM p)")
+@query(f"WITH {_U}, {_P} SELECT split, count(DISTINCT ord) AS n FROM u WHERE unit IN (SELECT unit FROM p) GROUP BY split")
 def leak_probe_overlap(t):
-    return L.overlapping(L.unit_rows(t.records).where("split <> 'train'"), L.probe_units(t.probe_items))
+    """Records of every split that share a unit with the probes."""
+    rows = L.unit_rows(t.records)
+    found = L.overlapping(rows, L.probe_units(t.probe_items))
+    return rows.select("ord", "split").distinct().join(found, "ord", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_U}, {_T}, {_GRAM}, {_IN} SELECT ord FROM inside")
@@ -56,19 +59,57 @@ def leak_containment(t):
     return L.contained(L.unit_rows(t.records.where("split = 'train'")), texts)
 
 
-_REASON = f"""WITH {_U}, {_P}, {_T}, {_GRAM}, {_F}, {_IN},
-e AS MATERIALIZED (SELECT unit FROM u WHERE split <> 'train' UNION SELECT unit FROM p),
+def _reasons(units: str = _U, side: str = "true", external: str = "SELECT NULL WHERE false", more: str = "SELECT NULL, NULL WHERE false") -> str:
+    return f"""WITH {units}, {_P}, x AS MATERIALIZED (SELECT DISTINCT text FROM ({external}) e(text) WHERE text IS NOT NULL),
+t AS MATERIALIZED (SELECT DISTINCT {X.sql_norm_key('context')} AS doc FROM records WHERE source IN ({_ONLY}) AND context IS NOT NULL UNION SELECT {X.sql_norm_key('text')} FROM x), {_GRAM}, {_F}, {_IN},
+e AS MATERIALIZED (SELECT unit FROM u WHERE split <> 'train' AND {side} UNION SELECT unit FROM p UNION SELECT k FROM (SELECT {X.sql_norm_key('piece')} AS k FROM (SELECT unnest(list_concat([text], string_split(text, chr(10)))) AS piece FROM x)) WHERE length(k) >= {X.MIN_UNIT}),
 o AS (SELECT DISTINCT ord FROM u WHERE split = 'train' AND unit IN (SELECT unit FROM e)), q AS (SELECT DISTINCT ord FROM u WHERE split <> 'train' AND unit IN (SELECT unit FROM p)),
 reasons AS (SELECT r.ord, r.source, r.split, r.type, r.id, CASE WHEN r.ord NOT IN (SELECT ord FROM f) THEN 'duplicate' WHEN r.ord IN (SELECT ord FROM o) THEN 'overlap'
 WHEN r.ord IN (SELECT ord FROM inside) THEN 'inside' WHEN r.ord IN (SELECT ord FROM q) THEN 'probe' ELSE 'kept' END AS reason FROM records r)"""
 
 
+_REASON = _reasons()
+
+
 @query(f"{_REASON} SELECT split, type, reason, count(*) AS n FROM reasons GROUP BY ALL")
 def corpus_build(t):
     """The flagship: copies out, then leakage, then counts with the reason of every drop."""
     return L.decontaminate(t.records, t.probe_items, _eval_only(t)).groupBy("split", "type", "reason").agg(F.count("*").alias("n"))
 
 
+_CHOSEN = "SELECT key FROM datasets WHERE enabled AND lang = 'zh'"
+
+
+@query(f"""{_reasons(side=f"source IN ({_CHOSEN})")} SELECT split, type, reason, count(*) AS n FROM reasons GROUP BY ALL""")
+def corpus_build_selected(t):
+    """The same against the evaluation records of selected sources only."""
+    chosen = t.datasets.where("enabled AND lang = 'zh'").select(F.col("key").alias("source"))
+    return L.decontaminate(t.records, t.probe_items, _eval_only(t), selected=chosen).groupBy("split", "type", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_reasons(external="SELECT text FROM documents WHERE domain = 'exams'")} SELECT split, type, reason, count(*) AS n FROM reasons GROUP BY ALL""")
+def corpus_build_external(t):
+    """The same with evaluation texts from outside the corpus."""
+    outside = t.documents.where("domain = 'exams'").select("text")
+    return L.decontaminate(t.records, t.probe_items, _eval_only(t), external=outside).groupBy("split", "type", "reason").agg(F.count("*").alias("n"))
+
+
+# Units a converter would hand over beside the record: here its question and its options.
+_MORE = f"""u AS MATERIALIZED (SELECT DISTINCT ord, source, split, unit FROM (SELECT ord, source, split, unnest({X.sql_units('nfc_normalize(context)', 'type', 'nfc_normalize(question)', 'list_transform(view.text, lambda v: nfc_normalize(v))')}) AS unit FROM records
+UNION ALL SELECT ord, source, split, {X.sql_norm_key('part')} FROM (SELECT ord, source, split, unnest(list_append(options, question)) AS part FROM records)) WHERE length(unit) >= {X.MIN_UNIT})"""
+
+
+@query(f"WITH {_MORE} SELECT ord, count(*) AS n FROM u GROUP BY ord")
+def all_units(t):
+    more = t.records.select("ord", F.concat(F.coalesce("options", F.array().cast("array<string>")), F.array("question")).alias("units"))
+    return L.unit_rows(t.records, more).distinct().groupBy("ord").agg(F.count("*").alias("n"))
+
+
+@query("SELECT unit FROM (SELECT DISTINCT " + X.sql_norm_key("piece") + " AS unit FROM (SELECT unnest(list_concat([text], string_split(text, chr(10)))) AS piece FROM documents WHERE domain = 'exams')) WHERE length(unit) >= " + str(X.MIN_UNIT))
+def external_eval_units(t):
+    return L.external_units(t.documents.where("domain = 'exams'").select("text"))
+
+
 @query(f"""{_REASON} SELECT source, count(*) AS n, count(*) FILTER (reason = 'duplicate') AS duplicates, count(*) FILTER (reason IN ('overlap', 'inside')) AS contaminated,
 count(*) FILTER (reason = 'inside') AS inside_only, count(*) FILTER (reason = 'probe') AS probe_drops FROM reasons GROUP BY source""")
 def drop_counters(t):
@@ -126,16 +167,16 @@ def previous_prompt(t):
     from sievemill.operators.trees import carry_forward
 
     m = t.messages.select("message_id", "role", "lang", "created_at").distinct()
-    return carry_forward(m, ["lang"], ["created_at", "message_id"], F.when(F.col("role") == "prompter", F.col("message_id")), "before").select("message_id", "before")
+    return carry_forward(m, ["lang"], ["created_at", "message_id"], F.when(F.col("role") == "prompter", F.col("message_id")), "before", F.date_trunc("hour", "created_at")).select("message_id", "before")
 
 
-@query("""SELECT a.item_id, b.item_id AS other FROM (SELECT item_id, lang, row_number() OVER (PARTITION BY lang ORDER BY item_id) AS i FROM probe_items) a
-JOIN (SELECT item_id, lang, row_number() OVER (PARTITION BY lang ORDER BY item_id) AS i FROM probe_items) b USING (i) WHERE a.lang = 'zh' AND b.lang = 'en'""")
+@query("""SELECT a.item_id, b.item_id AS other, a.qtype FROM (SELECT item_id, lang, qtype, row_number() OVER (PARTITION BY lang, qtype ORDER BY item_id) AS i FROM probe_items) a
+JOIN (SELECT item_id, lang, qtype, row_number() OVER (PARTITION BY lang, qtype ORDER BY item_id) AS i FROM probe_items) b USING (qtype, i) WHERE a.lang = 'zh' AND b.lang = 'en'""")
 def join_positional(t):
-    from pyspark.sql import Window as W
+    from sievemill.operators.probes import zipped
 
-    p = t.probe_items.select("item_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy("item_id")).alias("i"))
-    return p.where("lang = 'zh'").select("i", "item_id").join(p.where("lang = 'en'").select("i", F.col("item_id").alias("other")), "i").select("item_id", "other")
+    p = t.probe_items.select("item_id", "lang", "qtype")
+    return zipped(p.where("lang = 'zh'"), p.where("lang = 'en'").withColumnRenamed("item_id", "other"), ["qtype"], "item_id", "other").select("item_id", "other", "qtype")
 
 
 @query("""SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS held, coalesce(b.n, 0) AS scored FROM (SELECT source, count(DISTINCT id) AS n FROM records WHERE split = 'test' GROUP BY 1) a

@@ -12,6 +12,14 @@ from sievemill.plans.registry import query
 from sievemill.session import stored
 
 Z = M.Z95
+# The names of slices and how ids lead to them.
+RULES = [
+    M.SliceRule(r"^([a-z0-9_]+)/(?:train|dev|test)/[^#]*#fixed$", ("test:fixed:ALL", "test:fixed:lang:{lang}", "test:fixed:source:{1}", "test:fixed:qtype:{qtype}")),
+    M.SliceRule(r"^([a-z0-9_]+)/(?:train|dev|test)/", ("test:ALL", "test:lang:{lang}", "test:source:{1}", "test:qtype:{qtype}", "test:lang:{lang}/qtype:{qtype}")),
+    M.SliceRule(r"^probe-([a-z]+)-", ("probe:{1}", "probe:{1}/qtype:{qtype}")),
+    M.SliceRule(r"", ("probe:other", "probe:other/qtype:{qtype}")),
+]
+ORDER = [("test:fixed:", 2), ("test:source:", 4), ("test:src:", 4), ("test:", 1), ("probe:", 3)]
 _D = """d AS MATERIALIZED (SELECT * FROM predictions WHERE probs IS NOT NULL AND len(probs) > 0 AND len(list_filter(probs, lambda x: x IS NULL)) = 0 AND gold >= 0 AND gold < len(probs)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY scored_at NULLS LAST, probs) = 1)"""
 
@@ -61,7 +69,7 @@ def metrics_by_type(t):
 
 @query(f"WITH {_S}, e AS (SELECT s.* , unnest(list_distinct(slices)) AS slice FROM s) {_summary_sql('slice', 'e')}")
 def metrics_by_slice(t):
-    return _round(M.summary(M.by_slice(_rows(t)), "slice"))
+    return _round(M.summary(M.by_slice(_rows(t), RULES), "slice"))
 
 
 @query(f"""WITH {_S}, e AS (SELECT s.*, unnest(['ALL', 'type:' || qtype, 'source:' || split_part(id, '/', 1), 'k:' || k]) AS slice FROM s WHERE id LIKE '%/dev/%') {_summary_sql('slice', 'e')}""")
@@ -80,7 +88,7 @@ def reliability_bins(t):
 m AS (SELECT *, (k / n + z * z / (2 * n)) / (1 + z * z / n) AS mid, z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS half FROM c)
 SELECT slice, n, round(greatest(0, mid - half), 10) AS lo, round(least(1, mid + half), 10) AS hi FROM m""")
 def wilson_by_slice(t):
-    g = M.by_slice(_rows(t)).groupBy("slice").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    g = M.by_slice(_rows(t), RULES).groupBy("slice").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
     lo, hi = M.wilson(F.col("k"), F.col("n"))
     return _round(g.select("slice", "n", lo.alias("lo"), hi.alias("hi")))
 
@@ -143,34 +151,37 @@ def points_by_source(t):
     return p.select("source", M.points(*(F.round(c, 9) for c in ("d_acc", "d_acc_lo", "d_acc_hi"))).alias("shown"))
 
 
-_LINES = """(SELECT id, gold, render, split_part(id, '/', 1) AS source FROM d QUALIFY row_number() OVER (PARTITION BY split_part(id, '/', 1) ORDER BY sha256(concat_ws(':', '13', 'eval', id)), id) <= 2000)"""
+_W = ", ".join(f"(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) % 4294967296)::VARCHAR" for i in range(4))
 
 
-@query(f"WITH {_D} SELECT source, left(sha256(string_agg(id || chr(9) || gold || chr(9) || coalesce(render, '') || chr(10), '' ORDER BY id || chr(9) || gold || chr(9) || coalesce(render, '') || chr(10))), 16) AS fingerprint FROM {_LINES} GROUP BY source")
+@query(f"WITH {_D} SELECT source, left(sha256(concat_ws(',', {_W})), 16) AS fingerprint FROM (SELECT split_part(id, '/', 1) AS source, sha256(id || chr(9) || gold || chr(9) || coalesce(render, '')) AS h FROM d) GROUP BY source")
 def fingerprints(t):
-    from sievemill.operators.sampling import sample_per
-
-    d = M.unique_ids(t.predictions).withColumn("source", F.split_part("id", F.lit("/"), F.lit(1)))
-    return M.fingerprint(sample_per(d, 2000, ["source"], F.col("id"), "13", "eval"), "source")
+    return M.fingerprint_sum(M.unique_ids(t.predictions).withColumn("source", F.split_part("id", F.lit("/"), F.lit(1))), "source")
 
 
-_W = ", ".join(f"(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) % 4294967296)::VARCHAR" for i in range(4))
+@query(f"WITH {_D} SELECT gold, left(sha256(string_agg(line, '' ORDER BY line)), 16) AS fingerprint FROM (SELECT gold, id || chr(9) || gold || chr(9) || coalesce(render, '') || chr(10) AS line FROM d WHERE qtype = 'choice' AND gold > 3) GROUP BY gold")
+def fingerprints_of_lists(t):
+    """Of small sets: the digest of their sorted lines."""
+    return M.fingerprint(M.unique_ids(t.predictions).where("qtype = 'choice' AND gold > 3"), "gold")
 
 
 @query(f"WITH {_D} SELECT slice, left(sha256(concat_ws(',', {_W})), 16) AS fingerprint FROM (SELECT unnest(list_distinct(slices)) AS slice, sha256(id || chr(9) || gold || chr(9) || coalesce(render, '')) AS h FROM d) GROUP BY slice")
 def fingerprints_of_slices(t):
-    return M.fingerprint_sum(M.by_slice(M.unique_ids(t.predictions)), "slice")
+    return M.fingerprint_sum(M.by_slice(M.unique_ids(t.predictions), RULES), "slice")
 
 
-@query("""SELECT ord, CASE WHEN src = '' THEN ['probe:other', 'probe:other/qtype:' || type] ELSE ['test:ALL', 'test:lang:' || l, 'test:source:' || src, 'test:qtype:' || type, 'test:lang:' || l || '/qtype:' || type] END AS slices
-FROM (SELECT ord, type, src, CASE WHEN contains(src, '_zh') THEN 'zh' ELSE 'en' END AS l FROM (SELECT ord, type, regexp_extract(id, '^([a-z0-9_]+)/(train|dev|test)/', 1) AS src FROM records))""")
+@query("""SELECT ord, CASE WHEN split = 'dev' THEN ['probe:' || family, 'probe:' || family || '/qtype:' || type] WHEN split = 'test' THEN ['test:fixed:ALL', 'test:fixed:lang:' || l, 'test:fixed:source:' || source, 'test:fixed:qtype:' || type]
+ELSE ['test:ALL', 'test:lang:' || l, 'test:source:' || source, 'test:qtype:' || type, 'test:lang:' || l || '/qtype:' || type] END AS slices
+FROM (SELECT ord, type, split, split_part(id, '/', 1) AS source, CASE WHEN regexp_matches(id, '^[^/]*_zh(_|/)') THEN 'zh' ELSE 'en' END AS l, CASE WHEN ord % 2 = 0 THEN 'even' ELSE 'other' END AS family FROM records)""")
 def slices_from_ids(t):
-    return t.records.select("ord", M.slices_from_id(F.col("id"), F.col("type")).alias("slices"))
+    """Training ids plain, test ids as marked variants, dev ids as those of probes of a named family and of none."""
+    r = t.records.select("ord", "type", F.when(F.col("split") == "test", F.concat("id", F.lit("#fixed"))).when((F.col("split") == "dev") & (F.col("ord") % 2 == 0), F.concat(F.lit("probe-even-"), "id")).when(F.col("split") == "dev", F.concat(F.lit("item "), "id")).otherwise(F.col("id")).alias("i"))
+    return r.select("ord", M.slices_from_id(F.col("i"), F.col("type"), RULES).alias("slices"))
 
 
 @query(f"""WITH {_S} SELECT slice, count(*) AS n, count(DISTINCT id) AS clusters FROM (SELECT id, unnest(list_distinct(slices)) AS slice FROM s) GROUP BY slice""")
 def slice_counts(t):
-    return M.by_slice(_rows(t)).groupBy("slice").agg(F.count("*").alias("n"), F.countDistinct("id").alias("clusters"))
+    return M.by_slice(_rows(t), RULES).groupBy("slice").agg(F.count("*").alias("n"), F.countDistinct("id").alias("clusters"))
 
 
 @query(f"""WITH {_S}, {_B}, ea AS (SELECT unnest(list_distinct(slices)) AS slice, id FROM s WHERE ('0x' || right(sha256(id), 1))::INT % 8 > 0 OR slices[1] LIKE '%pinecrest%'),
@@ -178,7 +189,7 @@ eb AS (SELECT unnest(list_distinct(slices)) AS slice, id FROM o), a AS (SELECT s
 SELECT slice, CASE WHEN b.ids IS NULL THEN 'only in A' WHEN a.ids IS NULL THEN 'only in B' WHEN a.ids = b.ids THEN 'same items' ELSE 'items differ' END AS status, len(list_intersect(coalesce(a.ids, []), coalesce(b.ids, []))) AS n FROM a FULL JOIN b USING (slice)""")
 def compare_slices(t):
     a = _rows(t).where((F.conv(F.substring(F.sha2("id", 256), 64, 1), 16, 10).cast("int") % 8 > 0) | F.get("slices", F.lit(0)).contains("pinecrest"))
-    return M.compared(a, _other(t)).select("slice", "status", "n")
+    return M.compared(a, _other(t), RULES).select("slice", "status", "n")
 
 
 @query(f"""WITH {_S}, {_B} SELECT s.id, round(s.brier - o.brier, 6) AS d_brier FROM s JOIN o USING (id)""")
@@ -211,12 +222,12 @@ def macro_average(t):
 
 @query()
 def bootstrap_intervals(t):
-    return M.bootstrap(M.by_slice(_rows(t)), "slice")
+    return M.bootstrap(M.by_slice(_rows(t), RULES), "slice")
 
 
 @query()
 def calibration_floor(t):
-    return M.ece_floor(M.by_slice(_rows(t)), "slice")
+    return M.ece_floor(M.by_slice(_rows(t), RULES), "slice")
 
 
 def _logits(t):
@@ -273,10 +284,26 @@ def softmax_of_logits(t):
     return _logits(t).select("id", F.transform(A.softmax(F.col("z")), lambda x: F.round(x, 6)).alias("probs"))
 
 
-@query("SELECT DISTINCT slice, CASE WHEN slice LIKE 'test:fixed:%' THEN 2 WHEN slice LIKE 'test:source:%' OR slice LIKE 'test:src:%' THEN 4 WHEN slice LIKE 'test:%' THEN 1 WHEN slice LIKE 'probe:%' THEN 3 ELSE 4 END AS rank FROM (SELECT unnest(slices) AS slice FROM predictions)")
+_RANK = "CASE WHEN slice LIKE 'test:fixed:%' THEN 2 WHEN slice LIKE 'test:source:%' OR slice LIKE 'test:src:%' THEN 4 WHEN slice LIKE 'test:%' THEN 1 WHEN slice LIKE 'probe:%' THEN 3 ELSE 99 END"
+
+
+@query(f"SELECT slice, {_RANK} AS rank, (row_number() OVER (ORDER BY {_RANK}, len(regexp_split_to_array(slice, '[:/]')), slice))::INT AS place FROM (SELECT DISTINCT unnest(slices) AS slice FROM predictions)")
 def slice_order(t):
     s = t.predictions.select(F.explode("slices").alias("slice")).distinct()
-    return s.select("slice", M.slice_rank(F.col("slice")).alias("rank"))
+    rank = M.slice_rank(F.col("slice"), ORDER)
+    return M.in_order(s, rank).select("slice", rank.alias("rank"), "place")
+
+
+@query(f"""WITH {_S}, e AS (SELECT s.*, unnest(list_distinct(slices)) AS slice FROM s), c AS (SELECT slice, count(*) AS n, sum(correct) AS k, {Z} AS z FROM e GROUP BY slice)
+SELECT slice, n, round(greatest(0, (k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) * n + z * z / 4)) / (1 + z * z / n)) , 6) AS lo, true AS floor_fits FROM (SELECT slice, n, k, z FROM c)""".replace("z * sqrt(k / n * (1 - k / n) * n + z * z / 4))", "z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)))"))
+def interval_table(t):
+    """Per slice the number of decisions, the Wilson interval of the accuracy and the calibration error that perfect calibration would show, which is
+    above zero and falls short of what random confidences show."""
+    rows = M.by_slice(_rows(t), RULES)
+    g = rows.groupBy("slice").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    lo, _ = M.wilson(F.col("k"), F.col("n"))
+    floor = M.ece_floor(rows, "slice")
+    return g.join(floor, "slice", "left").select("slice", "n", F.round(lo, 6).alias("lo"), F.col("ece15_floor").between(0, 1).alias("floor_fits"))
 
 
 @query("""SELECT r.id, left(sha256(r.question || chr(10) || coalesce(r.context, '')), 12) AS render FROM records r WHERE r.split = 'test' QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY ord) = 1""")
@@ -297,4 +324,4 @@ def rendering_against_plain(t):
 
 @query(f"""WITH {_S}, e AS (SELECT s.*, unnest(list_distinct(slices)) AS slice FROM s) SELECT slice, count(*) AS n, round(avg(k), 10) AS mean_options, round(sum(conf) / sum(1.0::DOUBLE / k), 8) AS lift FROM e GROUP BY slice""")
 def slice_options(t):
-    return M.by_slice(_rows(t)).groupBy("slice").agg(F.count("*").alias("n"), F.round(F.avg("k"), 10).alias("mean_options"), F.round(F.sum("conf") / F.sum(1 / F.col("k")), 8).alias("lift"))
+    return M.by_slice(_rows(t), RULES).groupBy("slice").agg(F.count("*").alias("n"), F.round(F.avg("k"), 10).alias("mean_options"), F.round(F.sum("conf") / F.sum(1 / F.col("k")), 8).alias("lift"))

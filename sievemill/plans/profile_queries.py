@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import governance as V
 from sievemill.operators import profile as P
-from sievemill.plans.registry import query
+from sievemill.operators.validate import count_differences
+from sievemill.plans.registry import SQL, query
 
 
 @query("SELECT lang, split, type, count(*) AS n FROM records GROUP BY GROUPING SETS ((lang, split, type), (lang, split), (split))")
@@ -72,11 +73,16 @@ def validation(t):
     return P.checks(t.records, t.datasets, t.licenses, ["ALLOW", "CONDITIONAL"])
 
 
-@query("""WITH now AS (SELECT source, split, count(*) AS n FROM records WHERE split <> 'train' GROUP BY ALL), ref AS (SELECT source, split, count(DISTINCT id) AS n FROM records WHERE split <> 'train' GROUP BY ALL)
+# Counts pinned before the last day's deliveries came.
+_BEFORE = "loaded_at < TIMESTAMP '2026-01-03'"
+
+
+@query(f"""WITH now AS (SELECT source, split, count(*) AS n FROM records WHERE split <> 'train' GROUP BY ALL), ref AS (SELECT source, split, count(*) AS n FROM records WHERE split <> 'train' AND {_BEFORE} GROUP BY ALL)
 SELECT source, split, coalesce(r.n, 0) AS expected, coalesce(n.n, 0) AS found FROM ref r FULL JOIN now n USING (source, split) WHERE coalesce(r.n, 0) <> coalesce(n.n, 0)""")
 def reference_counts(t):
-    held = t.records.where("split <> 'train'").groupBy("source", "split")
-    return held.agg(F.countDistinct("id").alias("expected")).join(held.agg(F.count("*").alias("found")), ["source", "split"], "full").where("expected <> found")
+    held = t.records.where("split <> 'train'")
+    n = lambda df: df.groupBy("source", "split").agg(F.count("*").alias("n"))
+    return count_differences(n(held.where(_BEFORE)), n(held))
 
 
 def _licence_sql(classes: str, drop: str) -> str:
@@ -117,16 +123,36 @@ def attribution(t):
     return V.attribution(t.records, t.datasets, t.licenses)
 
 
-@query()
+_FIELDS = ", ".join(f"coalesce({c}, chr(9216))" for c in ("id", "lang", "type", "question", "array_to_string(list_transform(options, lambda o: coalesce(o, chr(9216))), chr(30))", "context", "label::VARCHAR"))
+_WORDS = ", ".join(f"(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) % 4294967296)::VARCHAR" for i in range(4))
+_MANIFEST = f"SELECT source, split, count(*) AS n, sha256(concat_ws(',', {_WORDS})) AS sha256 FROM (SELECT source, split, sha256(concat_ws(chr(31), {_FIELDS})) AS h FROM records) GROUP BY source, split"
+
+
+@query(_MANIFEST)
 def manifest(t):
     return V.manifest(t.records)
 
 
-@query()
+@query(f"SELECT sha256(string_agg(line, '' ORDER BY line)) AS corpus_sha256 FROM (SELECT sha256 || '  ' || split || '/' || source || chr(10) AS line FROM ({_MANIFEST}))")
 def corpus_hash(t):
     return V.corpus_hash(V.manifest(t.records))
 
 
+@query(f"""SELECT source, CASE WHEN d.key IS NULL THEN source || ': not listed' ELSE coalesce(problem, source || ': left out by the profile') END AS problem FROM (SELECT DISTINCT source FROM records WHERE split = 'train') LEFT JOIN ({_STRICT}) d ON d.key = source WHERE NOT coalesce(keep, false)
+UNION ALL SELECT NULL, 'trial run' FROM (SELECT count(*) AS n FROM records WHERE split = 'train') WHERE n < 1000000000""")
+def publish_gate(t):
+    """Asked for more training records than there are, so that both kinds of problem show."""
+    return V.publish_problems(t.records, t.datasets, t.licenses, "strict", 1_000_000_000)
+
+
+@query("""SELECT name, CASE WHEN f.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'extra' ELSE 'is ' || coalesce(f.kind, 'null') || ', not ' || coalesce(e.kind, 'null') END AS problem FROM (SELECT key AS name, lang AS kind FROM datasets) e
+FULL JOIN (SELECT source AS name, mode(lang) AS kind FROM (SELECT source, lang FROM records WHERE lang IN ('zh', 'en')) GROUP BY source) f USING (name) WHERE e.name IS NULL OR f.name IS NULL OR e.kind IS DISTINCT FROM f.kind""")
+def structural_check(t):
+    """The sources with their language against the list of data sets."""
+    found = t.records.where("lang IN ('zh', 'en')").groupBy(F.col("source").alias("name")).agg(F.mode("lang").alias("kind"))
+    return V.structure(t.datasets.select(F.col("key").alias("name"), F.col("lang").alias("kind")), found)
+
+
 @query("SELECT sha256(string_agg(line, '' ORDER BY line)) AS sha256 FROM (SELECT sha256(source || split) || '  ' || split || '/' || source || chr(10) AS line FROM (SELECT DISTINCT source, split FROM records))")
 def listing_hash(t):
     parts = t.records.select("source", "split").distinct().withColumn("sha256", F.sha2(F.concat("source", "split"), 256))
@@ -137,3 +163,29 @@ def listing_hash(t):
 def document_profile(t):
     n = F.length("text")
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_chars"), F.max(n).alias("max_chars"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("empty"), F.count_if(~F.col("n_chars").eqNullSafe(n)).alias("stale"))
+
+
+_PARTS = "SELECT source FROM records WHERE split = 'dev' GROUP BY source"
+_ASKED = "SELECT q_native.question.instructions AS i FROM probe_items UNION SELECT q_en.question.instructions FROM probe_items"
+
+
+def _whole_sql() -> str:
+    from sievemill.functions import text as X
+    from sievemill.plans import leak_queries as K
+
+    base = SQL["validation"]
+    masked = lambda c: f"regexp_replace({c}, '`[^`]*`', '`*`', 'g')"
+    return f"""WITH {K._U}, {K._P}, {K._T}, {K._GRAM}, {K._IN} SELECT * FROM ({base}) UNION ALL SELECT 'checksums', count(*) FROM ({_PARTS})
+UNION ALL SELECT 'train_in_held_out', count(DISTINCT ord) FROM u WHERE split = 'train' AND unit IN (SELECT unit FROM u WHERE split <> 'train') UNION ALL SELECT 'train_inside_eval_only', count(*) FROM inside
+UNION ALL SELECT 'held_out_in_probes', count(DISTINCT ord) FROM u WHERE split <> 'train' AND unit IN (SELECT unit FROM p) UNION ALL SELECT 'train_in_probes', count(DISTINCT ord) FROM u WHERE split = 'train' AND unit IN (SELECT unit FROM p)
+UNION ALL SELECT 'instructions_of_probes', count(*) FROM ({_ASKED}) WHERE {masked('i')} IN (SELECT {masked('question')} FROM records WHERE split = 'train' AND question IS NOT NULL)
+UNION ALL SELECT 'options_of_probes', count(*) FROM (SELECT DISTINCT unnest(options) AS o FROM records WHERE split = 'train') WHERE {X.sql_norm_key('o')} IN (SELECT {X.sql_norm_key('c.key')} FROM (SELECT unnest(q_native.question.criteria) AS c FROM probe_items))
+UNION ALL SELECT 'held_out_ids', count(*) FROM (SELECT id FROM (SELECT DISTINCT id, question, context, options, label FROM records WHERE split <> 'train') GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'pinned_counts', count(*) FROM ({_PARTS})"""
+
+
+@query(_whole_sql)
+def validation_whole(t):
+    """The whole battery, against a manifest that was sealed without the dev split."""
+    from sievemill.operators.validate import checks
+
+    return checks(t.records, t.probe_items, t.datasets, t.licenses, ["ALLOW", "CONDITIONAL"], V.manifest(t.records.where("split <> 'dev'")))

@@ -22,8 +22,8 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
-def query(sql: str | None = None):
-    """Registers a function of Tables under its own name."""
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a function of Tables under its own name; SQL made of other queries' SQL comes from a function that is called last."""
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))

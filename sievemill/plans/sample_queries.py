@@ -111,9 +111,7 @@ _PAPERS = """(SELECT id, source, context, list_transform((context::JSON->'keywor
 FROM records WHERE context LIKE '{%' AND json_valid(context) AND json_exists(context, '$.keywords') QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1)"""
 
 
-@query(f"""SELECT id, arg_min(entry, h) AS negative FROM (SELECT p.id, e.entry, {H.sql_digest("'neg'", 'p.id', 'e.entry')} AS h FROM {_PAPERS} p
-JOIN (SELECT DISTINCT source, unnest(own) AS entry FROM {_PAPERS}) e USING (source)
-WHERE NOT list_contains(p.own, e.entry) AND NOT contains(p.context, e.entry)) GROUP BY id""")
+@query(f"""WITH _r AS MATERIALIZED (SELECT id, source AS grp, own, context AS txt FROM {_PAPERS}), {S.sql_negatives("_r", "(SELECT grp, unnest(own) AS entry FROM _r)", "'neg'")} SELECT id, negative FROM negative""")
 def negative_keyword(t):
     own = F.from_json(F.get_json_object("context", "$.keywords"), "array<string>")
     p = t.records.where("context LIKE '{%'").withColumn("own", own).where("own IS NOT NULL").select("id", "source", "context", "own").dropDuplicates(["id"])

@@ -73,14 +73,45 @@ def sink_replace(t):
     path = _place(t, "replace")
     sinks.replace(t.datasets.select("key", "enabled"), path)
     sinks.replace(t.datasets.where("enabled").select("key", "enabled"), path)
-    return t.spark.read.parquet(path)
+    return sinks.current(t.spark, path)
+
+
+@query("SELECT source, split, count(*) AS n FROM records WHERE split <> 'dev' OR source LIKE '%en' GROUP BY ALL")
+def sink_partitions_kept(t):
+    """The dev split written anew without the sources of one language: of it these go, all other partitions stay."""
+    path = _place(t, "corpus")
+    sinks.corpus(t.records, path)
+    for s in ("train", "test"):
+        sinks.corpus(t.records.where(F.col("split") == s), path)
+    dev = readers.corpus(t.spark, path, "id string, ord long", "dev").where("source LIKE '%en'")
+    again = _place(t, "corpus")
+    sinks.corpus(dev, again)
+    sinks.corpus(t.records.where("split <> 'dev'").select("id", "ord", "split", "source"), again)
+    return t.spark.read.schema("id string, source string, split string").json(again).groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT ord, id, source FROM records WHERE split = 'test' AND source IN (SELECT key FROM datasets WHERE role = 'eval_only')")
+def source_split(t):
+    """One split of some sources, read back from the corpus's folders."""
+    path = _place(t, "corpus")
+    sinks.corpus(t.records, path)
+    only = [r["key"] for r in t.datasets.where("role = 'eval_only'").select("key").collect()]  # a list written by hand
+    return readers.corpus(t.spark, path, "id string, ord long", "test", only).select("ord", "id", "source")
 
 
-@query("SELECT count(*) > 0 AS any_file, true AS whole FROM datasets")
+@query("SELECT unnest(['added', 'changed', 'missing']) AS problem, unnest([1, 1, 1]) AS n")
 def sink_checksums(t):
+    """A sealed folder of three files, of which one is then changed, one removed and one added."""
     path = _place(t, "sums")
-    t.datasets.write.parquet(path)
-    return sinks.sums(t.spark, path).agg((F.count("*") > 0).alias("any_file"), F.min(F.length("sha256") == 64).alias("whole"))
+    for name in ("a", "b", "c"):
+        sinks.write_text(t.spark, f"{path}/{name}.txt", name)
+    sinks.seal(t.spark, path)
+    sound = sinks.broken(t.spark, path).count()
+    sinks.write_text(t.spark, f"{path}/a.txt", "other")
+    sinks.write_text(t.spark, f"{path}/d.txt", "d")
+    p, fs = sinks._fs(t.spark, f"{path}/b.txt")
+    fs.delete(p, False)
+    return sinks.broken(t.spark, path).groupBy("problem").agg((F.count("*") + sound).cast("int").alias("n"))
 
 
 @query("SELECT source, count(*) AS n FROM records GROUP BY source")
@@ -91,6 +122,10 @@ def sink_keyed(t):
     return sinks.keyed(df, path, "a")
 
 
-@query("SELECT 'records.parquet' AS file WHERE true")
+@query("SELECT f AS file, length(f) AS bytes, sha256(f) AS sha256 FROM (SELECT unnest(['first', 'second', '第三']) AS f)".replace("length(f)", "strlen(f)"))
 def source_ledger(t):
-    return readers.ledger(t.spark, f"{t.sf_dir}/records.parquet").where("bytes > 0 AND length(sha256) = 64").select(F.lit("records.parquet").alias("file")).distinct()
+    """Name, size and digest of files whose content is their name."""
+    path = _place(t, "ledger")
+    for name in ("first", "second", "第三"):
+        sinks.write_text(t.spark, f"{path}/{name}", name)
+    return readers.ledger(t.spark, path).where(~F.col("file").startswith("."))

@@ -32,6 +32,12 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def corpus(spark: SparkSession, path: str, schema: str, split: str, sources: list[str] | None = None) -> DataFrame:
+    """One split of a corpus written by split and source, of some sources if given; folders of others aren't read."""
+    df = spark.read.schema(f"{schema}, split string, source string").json(path).where(F.col("split") == split)
+    return df.where(F.col("source").isin(*sources)) if sources is not None else df
+
+
 def zipped_json(spark: SparkSession, path: str, schema: str, member: str = ".json") -> DataFrame:
     """The rows of every member whose name ends so: an array of objects, one object, or an object of objects. Archives are
     spread over tasks, one archive being read by one."""

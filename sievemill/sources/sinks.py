@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ def csv(df: DataFrame, path: str, sep: str = ",", null: str = "\\N") -> None:
     w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def corpus(records: DataFrame, path: str) -> None:
-    """One folder per split and source. Only the partitions written are replaced."""
-    records.repartition("split", "source", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("split", "source").json(path)
+def corpus(records: DataFrame, path: str, clean: bool = False) -> None:
+    """One folder per split and source. Only the partitions written are replaced, whatever the session's setting; clean=True replaces everything under
+    the path."""
+    out = records.repartition("split", "source", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "static" if clean else "dynamic")
+    out.partitionBy("split", "source").json(path)
 
 
 def append(predictions: DataFrame, path: str) -> None:
@@ -37,14 +40,49 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there whole or not at all: written beside and renamed over in one step."""
+    jvm, tmp = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
+    (src, fs), (dst, _) = _fs(spark, tmp), _fs(spark, path)
+    out = fs.create(src, True)
+    out.write(text.encode())
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(src), fs.makeQualified(dst), how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+POINTER = "_CURRENT"
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Written beside and renamed, so a reader sees the old data or the new."""
-    tmp = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(tmp)
-    src, fs = _fs(df.sparkSession, tmp)
-    dst, _ = _fs(df.sparkSession, path)
-    fs.delete(dst, True)
-    fs.rename(src, dst)
+    """A new version of a table in a folder of its own; the pointer then moves to it in one step. A reader sees the old version or the new, and a
+    failed write changes nothing. The version before stays for who reads it now, older ones go."""
+    spark, before = df.sparkSession, read_text(df.sparkSession, f"{path}/{POINTER}")
+    name = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    write_text(spark, f"{path}/{POINTER}", name)
+    p, fs = _fs(spark, path)
+    for f in fs.listStatus(p):
+        if f.getPath().getName().startswith("version-") and f.getPath().getName() not in (name, before):
+            fs.delete(f.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that `replace` wrote last."""
+    return spark.read.parquet(f"{path}/{read_text(spark, f'{path}/{POINTER}')}")
 
 
 def sums(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +90,27 @@ def sums(spark: SparkSession, path: str) -> DataFrame:
     return ledger(spark, path).where(~F.col("file").rlike(r"^[._]")).select("sha256", "file")
 
 
+SUMS = "_SHA256SUMS"  # readers of the folder pass over it
+
+
+def seal(spark: SparkSession, path: str) -> str:
+    """Writes the checksums of the files under a path beside them, a line '<digest>  <name>' each in order of name, and gives the digest of that
+    list. It has a line per file, so it is as long as a listing of the folder."""
+    rows = sums(spark, path).orderBy("file").collect()
+    text = "".join(f"{r['sha256']}  {r['file']}\n" for r in rows)
+    write_text(spark, f"{path}/{SUMS}", text)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def broken(spark: SparkSession, path: str) -> DataFrame:
+    """file and what is wrong ('missing', 'added', 'changed') with the files under a sealed path."""
+    lines = [x.split("  ", 1) for x in (read_text(spark, f"{path}/{SUMS}") or "").splitlines()]
+    listed = spark.createDataFrame([(f, h) for h, f in lines], "file string, listed string")
+    found = sums(spark, path).where(F.col("file") != SUMS)
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("listed").isNull(), "added").when(F.col("listed") != F.col("sha256"), "changed")
+    return listed.join(found, "file", "full").select("file", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def keyed(df: DataFrame, path: str, key: str) -> DataFrame:
     """df as stored under this key before, else computed and stored: a cache that outlives the session."""
     where = f"{path}/{key}"

@@ -197,7 +197,7 @@ def test_batches(spark):
     assert all(len(v) <= 8 and (len(v) == 1 or len(v) * -(-max(v) // 32) * 32 <= 2048) for v in by.values())
     assert batching.cut([10, 10, 40], 8, 64) == [0, 0, 1]
     b = batching.by_length(items, 8, 2048)
-    assert all(r["c"] <= max(1, min(8, 2048 // r["wide"])) for r in b.groupBy("wide", "part", "batch").agg(F.count("*").alias("c")).collect()) and b.count() == 500
+    assert all(r["c"] <= max(1, min(8, 2048 // r["wide"])) for r in b.groupBy("wide", "batch").agg(F.count("*").alias("c")).collect()) and b.count() == 500
 
 
 def test_nearest_rank(spark):

@@ -8,6 +8,7 @@ import zipfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sievemill.sources import convert, readers, sinks
 from sievemill.streaming import incremental
@@ -47,9 +48,16 @@ def test_sinks(spark, tmp_path):
     df = spark.range(100).selectExpr("CAST(id AS STRING) AS id", "CASE WHEN id % 2 = 0 THEN 'train' ELSE 'test' END AS split", "'s' AS source", "id AS _x")
     sinks.corpus(df, f"{tmp_path}/c")
     assert {p.name for p in (tmp_path / "c").iterdir() if p.is_dir()} == {"split=train", "split=test"}
-    sinks.replace(df, f"{tmp_path}/r")
-    sinks.replace(df.limit(3), f"{tmp_path}/r")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 3
+    sinks.corpus(df.where("split = 'test'").limit(2), f"{tmp_path}/c")
+    assert readers.corpus(spark, f"{tmp_path}/c", "id string", "test").count() == 2 and readers.corpus(spark, f"{tmp_path}/c", "id string", "train", ["s"]).count() == 50
+    sinks.corpus(df.where("split = 'test'"), f"{tmp_path}/c", clean=True)
+    assert {p.name for p in (tmp_path / "c").iterdir() if p.is_dir()} == {"split=test"}
+    for n in (100, 3, 2, 1):
+        sinks.replace(df.limit(n), f"{tmp_path}/r")
+        assert sinks.current(spark, f"{tmp_path}/r").count() == n
+    with pytest.raises(Exception, match="odd"):
+        sinks.replace(df.withColumn("id", F.raise_error(F.lit("odd"))), f"{tmp_path}/r")
+    assert sinks.current(spark, f"{tmp_path}/r").count() == 1
     sinks.append(df, f"{tmp_path}/a")
     assert "_x" not in spark.read.parquet(f"{tmp_path}/a").columns
     calls = sinks.keyed(df, f"{tmp_path}/k", "one").count(), sinks.keyed(df.limit(1), f"{tmp_path}/k", "one").count()
