@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievemill.functions.text import SPACE
 from sievemill.llm.lookalike import form
 
 
@@ -58,13 +59,44 @@ y AS MATERIALIZED (SELECT a.t AS ta, b.t AS tb, greatest(a.n, b.n) // 10 AS most
 WHERE levenshtein(a.c0, b.c0) <= greatest(a.n, b.n) // 10), near AS MATERIALIZED (SELECT ta, tb FROM y WHERE {" AND ".join(f"levenshtein(a{i}, b{i}) <= most" for i in range(3))}),
 links AS (SELECT a.id AS id_eval, a.split, a.source, b.id AS id_train FROM near JOIN l a ON a.t = ta AND a.split <> 'train' JOIN l b ON b.t = tb AND b.split = 'train')"""
 
+
+
+def _full_forms() -> str:
+    """Code points of the first plane whose consistent form is another one, as rows."""
+    rows = ((c, form(chr(c), False)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
+    return ", ".join(f"({c}, {_quoted(f)})" for c, f in rows if f != chr(c))
+
+
+def _consistent_sql() -> str:
+    return f"""WITH r AS MATERIALIZED (SELECT DISTINCT id, context, options FROM records WHERE id IS NOT NULL), m(c, f) AS MATERIALIZED (VALUES {_full_forms()}),
+t AS MATERIALIZED (SELECT row_number() OVER () AS k, x FROM (SELECT DISTINCT x FROM (SELECT context AS x FROM r UNION ALL SELECT unnest(options) FROM r) WHERE x IS NOT NULL)),
+p AS (SELECT k, unnest(l) AS ch, generate_subscripts(l, 1) AS i FROM (SELECT k, string_split(replace(x, chr(13) || chr(10), chr(10)), '') AS l FROM t WHERE x <> '')),
+g AS (SELECT k, lower(nfc_normalize(string_agg(CASE WHEN ch = chr(9) THEN ' ' ELSE coalesce(f, ch) END, '' ORDER BY i))) AS y FROM p LEFT JOIN m ON m.c = unicode(ch) GROUP BY k), v AS MATERIALIZED (SELECT x, coalesce(y, '') AS y FROM t LEFT JOIN g USING (k)),
+o AS (SELECT id, list(v.y ORDER BY i) AS y FROM (SELECT id, unnest(options) AS x, generate_subscripts(options, 1) AS i FROM r) LEFT JOIN v USING (x) GROUP BY id)
+SELECT r.id, v.y AS context_form, CASE WHEN len(r.options) = 0 THEN [] ELSE o.y END AS options_form FROM r LEFT JOIN v ON v.x = r.context LEFT JOIN o ON o.id = r.id"""
+
+
+# Tokens by applying the merges in their order to all words at once: pieces stand in angle brackets. A merge's parts come from merges before it.
+_TOKENS = f"""WITH RECURSIVE rows_ AS MATERIALIZED (SELECT DISTINCT ON (id) 'record' AS kind, id, source, lang, NULL::VARCHAR AS domain, context AS text FROM records WHERE id IS NOT NULL UNION ALL SELECT 'document', doc_id::VARCHAR, source, lang, domain, text FROM documents),
+texts AS MATERIALIZED (SELECT DISTINCT text FROM rows_ WHERE text <> ''), found AS MATERIALIZED (SELECT text, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM texts),
+merges_ AS MATERIALIZED (SELECT left_piece AS l, right_piece AS r, row_number() OVER (ORDER BY merge_rank) AS n FROM tok_merges),
+b AS (SELECT word, regexp_replace(word, '(.)', '<\\1>', 'g') AS s, 0::BIGINT AS step FROM (SELECT DISTINCT word FROM found) UNION ALL SELECT word, replace(s, '<' || l || '><' || r || '>', '<' || l || r || '>'), step + 1 FROM b JOIN merges_ ON n = step + 1),
+w AS (SELECT word, length(s) - length(replace(s, '<', '')) AS n FROM b WHERE step = (SELECT max(n) FROM merges_)),
+tokens AS MATERIALIZED (SELECT text, length(regexp_replace(text, '[A-Za-z{SPACE}]', '', 'g')) + coalesce(n, 0) AS n FROM texts LEFT JOIN (SELECT text, sum(w.n) AS n FROM found JOIN w USING (word) GROUP BY text) USING (text)),
+slices AS (SELECT kind, r.source, coalesce(CASE WHEN length(regexp_extract(r.lang, '^[A-Za-z]+')) >= 2 THEN lower(left(regexp_extract(r.lang, '^[A-Za-z]+'), 2)) END, lower(d.lang)) AS lang, coalesce(r.domain, CASE WHEN kind = 'record' THEN d.domain END) AS domain, coalesce(n, 0) AS n
+FROM rows_ r LEFT JOIN (SELECT DISTINCT ON (key) * FROM datasets WHERE key IS NOT NULL) d ON d.key = r.source LEFT JOIN tokens USING (text))"""
+_BUDGET = f"{_TOKENS} SELECT kind, source, lang, domain, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM slices GROUP BY kind, source, lang, domain"
+
 SQL: dict[str, str] = {
+    "p2_consistent_form": _consistent_sql(),
+    "p4_token_budget": _BUDGET,
+    "p4_updated_budget": _BUDGET,
     "p1_found": f"{_NEAR} SELECT DISTINCT least(id_eval, id_train) AS id_a, greatest(id_eval, id_train) AS id_b FROM links",
     "p1_overlap_counts": f"{_NEAR} SELECT split, source, count(DISTINCT id_eval) AS n_records, count(*) AS n_pairs FROM (SELECT DISTINCT id_eval, id_train, split, source FROM links) GROUP BY ALL",
     "p1_record_links": f"""{_NEAR}, n AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id_eval, id_train, unnest([id_eval, id_train]) AS id FROM links) GROUP BY id)
 SELECT id, min(id) OVER (PARTITION BY t, split = 'train') AS class_id, coalesce(n, 0) AS n_links FROM (SELECT DISTINCT id, split, t FROM l WHERE length(t) >= 40) LEFT JOIN n USING (id)""",
-    "p3_sources": """WITH t AS (SELECT DISTINCT ON (source, lang) source, lang, target_share FROM mix_targets WHERE source IS NOT NULL AND target_share IS NOT NULL), own AS (SELECT source, any_value(lang) AS own FROM t GROUP BY source),
-r AS (SELECT DISTINCT id, source, CASE WHEN length(regexp_extract(lang, '^[A-Za-z]+')) >= 2 THEN lower(left(regexp_extract(lang, '^[A-Za-z]+'), 2)) ELSE own END AS lang FROM records JOIN own USING (source) WHERE id IS NOT NULL AND regexp_matches(context, '[^\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')),
+    "p3_sources": f"""WITH t AS (SELECT DISTINCT ON (source, lang) source, lang, target_share FROM mix_targets WHERE source IS NOT NULL AND target_share IS NOT NULL), own AS (SELECT source, any_value(lang) AS own FROM t GROUP BY source),
+r AS (SELECT DISTINCT id, source, CASE WHEN length(regexp_extract(lang, '^[A-Za-z]+')) >= 2 THEN lower(left(regexp_extract(lang, '^[A-Za-z]+'), 2)) ELSE own END AS lang FROM records JOIN own USING (source) WHERE id IS NOT NULL AND regexp_matches(context, '[^{SPACE}]')),
 n AS (SELECT source, lang, count(*) AS n FROM r GROUP BY ALL) SELECT source, lang, target_share, coalesce(n, 0) AS n_records, true AS within, true AS shared FROM t LEFT JOIN n USING (source, lang)""",
     "p6_pieces": "SELECT spec_name, doc_id, n_tokens, greatest(1, ceil(n_tokens / capacity_tokens))::BIGINT AS n_pieces, 0 AS n_over FROM token_counts, pack_sizes",
     "p4_counted_documents": "SELECT doc_id, n_tokens FROM token_counts",
