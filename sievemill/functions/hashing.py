@@ -48,9 +48,15 @@ def _mixer(salt: str, name: str) -> tuple[int, int]:
     return int.from_bytes(h[:4], "big") % (PRIME - 1) + 1, int.from_bytes(h[4:8], "big") % PRIME
 
 
+def place(name: str, n: Column, salt: str) -> Column:
+    """A fixed name's place in the order that follows from the number n of a row."""
+    a, b = _mixer(salt, name)
+    return ((n % PRIME) * a + b) % PRIME
+
+
 def ordered(names: tuple[str, ...], n: Column, salt: str) -> Column:
     """Fixed names in an order that follows from the number n of a row: one multiplication a name instead of a digest."""
-    keyed = [F.struct(((n % PRIME) * a + b) % PRIME, F.lit(x)) for x in names for a, b in [_mixer(salt, x)]]
+    keyed = [F.struct(place(x, n, salt), F.lit(x)) for x in names]
     return F.transform(F.array_sort(F.array(*keyed)), lambda x: x["col2"])
 
 

@@ -30,29 +30,34 @@ WIDE, NARROW = _plain()
 LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; the JVM functions have none. Null stays null."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def clean(text: Column) -> Column:
+def nfc(text: Column, once: bool = False) -> Column:
+    """Canonical composition; the JVM functions have none. Null stays null. once=True keeps the optimiser from computing what is made of it a
+    second time in a filter that it moves down; such a column may stand in a projection only."""
+    f = F.pandas_udf(_composed, StringType())
+    return (f.asNondeterministic() if once else f)(text)
+
+
+def clean(text: Column, once: bool = False) -> Column:
     """Composed, without carriage returns, white space collapsed to one space and trimmed; null gives the empty text."""
-    t = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), "\r", "")
+    t = F.regexp_replace(nfc(F.coalesce(text, F.lit("")), once), "\r", "")
     return F.trim(F.regexp_replace(t, f"[{SPACE}]+", " "))
 
 
-def clean_keep_lines(text: Column) -> Column:
+def clean_keep_lines(text: Column, once: bool = False) -> Column:
     """The same line by line; of three or more line feeds in a row two stay."""
-    t = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), "\r", "")
+    t = F.regexp_replace(nfc(F.coalesce(text, F.lit("")), once), "\r", "")
     t = F.regexp_replace(F.regexp_replace(t, f"[{SPACE_BUT_LINES}]+", " "), " ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
 
 
-def norm_key(text: Column, composed: bool = False) -> Column:
+def norm_key(text: Column, composed: bool = False, once: bool = False) -> Column:
     """The key under which texts count as the same: composed, plain forms of wide and raised characters, case folded, and
     only letters and digits left. composed=True says that the text is composed already. Null gives the empty key."""
-    low = F.lower(F.coalesce(text, F.lit("")) if composed else nfc(F.coalesce(text, F.lit(""))))
+    low = F.lower(F.coalesce(text, F.lit("")) if composed else nfc(F.coalesce(text, F.lit("")), once))
     t = low
     for a, b in LIGATURES.items():
         t = F.replace(t, F.lit(a), F.lit(b))

@@ -15,7 +15,7 @@ def _units(records: DataFrame) -> DataFrame:
     """ord, split and unit: the keys of at least MIN_UNIT characters of the texts in each record. Texts become rows before
     they are rewritten, so the key is computed column-wise and not inside an array."""
     parts = X.record_parts(F.col("context"), F.col("type"), F.col("question"), F.col("view.text"))
-    return spread(records.select("ord", "split", "type", "question", "context", "view")).select("ord", "split", F.explode(parts).alias("part")).select("ord", "split", X.norm_key(F.col("part")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
+    return spread(records.select("ord", "split", "type", "question", "context", "view")).select("ord", "split", F.explode(parts).alias("part")).select("ord", "split", X.norm_key(F.col("part"), once=True).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
 
 
 def units_of(records: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def probe_units(items: DataFrame) -> DataFrame:
     """source and key of the state of every item, whole and line by line, of at least MIN_UNIT characters."""
     s = items.select("source", F.explode(F.array_distinct(F.array("q_native.state", "q_en.state"))).alias("s")).where("s IS NOT NULL")
     pieces = s.select("source", F.explode(F.array_distinct(F.concat(F.array("s"), F.split("s", "\n")))).alias("p"))
-    return pieces.select("source", X.norm_key(F.col("p")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
+    return pieces.select("source", X.norm_key(F.col("p"), once=True).alias("unit")).where(F.length("unit") >= X.MIN_UNIT)
 
 
 def unit_rows(records: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def unit_rows(records: DataFrame, more: DataFrame | None = None) -> DataFrame:
     raw fields a converter made it from; they become units like its own."""
     rows = _units(records)
     if more is not None:
-        extra = records.select("ord", "split").join(more, "ord").select("ord", "split", F.explode("units").alias("part")).select("ord", "split", X.norm_key(F.col("part")).alias("unit"))
+        extra = records.select("ord", "split").join(more, "ord").select("ord", "split", F.explode("units").alias("part")).select("ord", "split", X.norm_key(F.col("part"), once=True).alias("unit"))
         rows = rows.unionByName(extra.where(F.length("unit") >= X.MIN_UNIT)).distinct()
     return stored(rows, "units")
 
@@ -66,7 +66,7 @@ def unit_rows(records: DataFrame, more: DataFrame | None = None) -> DataFrame:
 def external_units(texts: DataFrame) -> DataFrame:
     """The distinct units of evaluation texts from outside (text), whole and line by line."""
     t = texts.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))).alias("p"))
-    return t.select(X.norm_key(F.col("p")).alias("unit")).where(F.length("unit") >= X.MIN_UNIT).distinct()
+    return t.select(X.norm_key(F.col("p"), once=True).alias("unit")).where(F.length("unit") >= X.MIN_UNIT).distinct()
 
 
 def held_out_units(rows: DataFrame) -> DataFrame:
@@ -117,10 +117,10 @@ def decontaminate(records: DataFrame, items: DataFrame, eval_only: DataFrame, se
         side = held.join(ours.select("ord"), "ord", "left_semi")
     units = held_out_units(side).unionByName(probe)
     only = records.join(F.broadcast(eval_only.select("source").distinct()), "source", "left_semi")  # eval_only: a column of the dataset list
-    texts = only.where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
+    texts = only.where("context IS NOT NULL").select(X.norm_key(F.col("context"), once=True).alias("doc"))
     if external is not None:
         units = units.unionByName(external_units(external))
-        texts = texts.unionByName(external.where("text IS NOT NULL").select(X.norm_key(F.col("text")).alias("doc")))
+        texts = texts.unionByName(external.where("text IS NOT NULL").select(X.norm_key(F.col("text"), once=True).alias("doc")))
     marks = [
         (first_ords(records), "first"),
         (overlapping(train, units), "overlap"),

@@ -45,17 +45,18 @@ def leak_overlap(t):
     return L.overlapping(rows.where("split = 'train'"), L.held_out_units(rows))
 
 
-@query(f"WITH {_U}, {_P} SELECT split, count(DISTINCT ord) AS n FROM u WHERE unit IN (SELECT unit FROM p) GROUP BY split")
+@query(f"WITH {_P} SELECT DISTINCT doc_id FROM (SELECT doc_id, {X.sql_norm_key('piece')} AS k FROM (SELECT doc_id, unnest(list_concat([text], string_split(text, chr(10)), string_split(text, '. '), string_split(text, '。'))) AS piece FROM documents WHERE text IS NOT NULL)) WHERE k IN (SELECT unit FROM p)")
 def leak_probe_overlap(t):
-    """Records of every split that share a unit with the probes."""
-    rows = L.unit_rows(t.records)
-    found = L.overlapping(rows, L.probe_units(t.probe_items))
-    return rows.select("ord", "split").distinct().join(found, "ord", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
+    """Documents of which the whole, a line or a sentence is a unit of the probes."""
+    d = t.documents.where("text IS NOT NULL")
+    pieces = d.select(F.col("doc_id").alias("ord"), F.explode(F.concat(F.array("text"), F.split("text", "\n"), F.split("text", r"\. "), F.split("text", "。"))).alias("p"))
+    rows = pieces.select("ord", X.norm_key(F.col("p"), once=True).alias("unit"))
+    return L.overlapping(rows, L.probe_units(t.probe_items)).select(F.col("ord").alias("doc_id"))
 
 
 @query(f"WITH {_U}, {_T}, {_GRAM}, {_IN} SELECT ord FROM inside")
 def leak_containment(t):
-    texts = t.records.join(F.broadcast(_eval_only(t)), "source", "left_semi").where("context IS NOT NULL").select(X.norm_key(F.col("context")).alias("doc"))
+    texts = t.records.join(F.broadcast(_eval_only(t)), "source", "left_semi").where("context IS NOT NULL").select(X.norm_key(F.col("context"), once=True).alias("doc"))
     return L.contained(L.unit_rows(t.records.where("split = 'train'")), texts)
 
 
@@ -118,6 +119,16 @@ def drop_counters(t):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(r == "duplicate").alias("duplicates"), F.count_if(r.isin("overlap", "inside")).alias("contaminated"), F.count_if(r == "inside").alias("inside_only"), F.count_if(r == "probe").alias("probe_drops"))
 
 
+@query(f"WITH {_U}, {_P} SELECT source, split, count(DISTINCT ord) AS n_records, count(DISTINCT ord) FILTER (unit IN (SELECT unit FROM u WHERE split <> 'train')) AS in_held_out, count(DISTINCT ord) FILTER (unit IN (SELECT unit FROM p)) AS in_probes FROM u GROUP BY source, split")
+def unit_hits(t):
+    """Per source and split the records that have units, and those that share one with the held-out records or the probes."""
+    rows = L.unit_rows(t.records)
+    marks = [rows.select("ord").distinct().withColumn("mark", F.lit("any")), L.overlapping(rows, L.held_out_units(rows)).withColumn("mark", F.lit("held")), L.overlapping(rows, L.probe_units(t.probe_items)).withColumn("mark", F.lit("probe"))]
+    every = marks[0].unionByName(marks[1]).unionByName(marks[2])
+    n = lambda m: F.count_if(F.col("mark") == m)
+    return every.join(t.records.select("ord", "source", "split"), "ord").groupBy("source", "split").agg(n("any").alias("n_records"), n("held").alias("in_held_out"), n("probe").alias("in_probes"))
+
+
 @query(f"{_REASON} SELECT source, reason, ord, id FROM reasons WHERE reason <> 'kept' QUALIFY row_number() OVER (PARTITION BY source, reason ORDER BY ord) <= 3")
 def drop_examples(t):
     from pyspark.sql import Window as W

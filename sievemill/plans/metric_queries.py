@@ -225,6 +225,13 @@ def bootstrap_intervals(t):
     return M.bootstrap(M.by_slice(_rows(t), RULES), "slice")
 
 
+@query(f"WITH {_S}, e AS (SELECT s.*, unnest(list_distinct(slices)) AS slice FROM s) SELECT slice, count(*) AS n, round(avg(correct), 10) AS acc, true AS inside FROM e GROUP BY slice HAVING count(*) >= 20")
+def bootstrap_covers(t):
+    """Per slice of at least twenty decisions the accuracy, and whether the resampled interval holds it."""
+    b = M.bootstrap(M.by_slice(_rows(t), RULES), "slice")
+    return b.select("slice", "n", F.round(F.col("k") / F.col("n"), 10).alias("acc"), (F.col("lo") <= F.col("k") / F.col("n")).__and__(F.col("hi") >= F.col("k") / F.col("n")).alias("inside"))
+
+
 @query()
 def calibration_floor(t):
     return M.ece_floor(M.by_slice(_rows(t), RULES), "slice")
@@ -235,21 +242,26 @@ def _logits(t):
     return stored(_rows(t).select("id", "qtype", "gold", z.alias("z")), "logits")
 
 
-_Z = f"{_S}, z AS MATERIALIZED (SELECT id, qtype, gold, list_transform(p, lambda x: round(ln(greatest(x, 1e-6)), 9)) AS z, list_max(list_transform(p, lambda x: round(ln(greatest(x, 1e-6)), 9))) AS top FROM s)"
+_Z = f"{_S}, z AS MATERIALIZED (SELECT id, qtype, gold, list_transform(p, lambda x: round(ln(greatest(x, 1e-6)), 9)) AS z, list_max(list_transform(p, lambda x: round(ln(greatest(x, 1e-6)), 9))) AS top, qtype || '/' || CASE WHEN k <= 2 THEN '2' WHEN k <= 5 THEN '3-5' WHEN k <= 10 THEN '6-10' ELSE '11+' END AS bucket FROM s)"
 
 
-def _best(name: str, candidates: str) -> str:
+def _best(name: str, candidates: str, key: str) -> str:
     loss = "ln(list_sum(list_transform(z, lambda x: exp((x - top) / t)))) - (z[gold + 1] - top) / t"
-    return f"{name} AS MATERIALIZED (SELECT qtype, arg_min(t, (loss, t)) AS best FROM (SELECT qtype, t, avg({loss}) AS loss FROM z JOIN ({candidates}) c USING (qtype) GROUP BY qtype, t) GROUP BY qtype)"
+    return f"{name} AS MATERIALIZED (SELECT {key}, arg_min(t, (loss, t)) AS best FROM (SELECT {key}, t, avg({loss}) AS loss FROM z JOIN ({candidates}) c USING ({key}) GROUP BY {key}, t) GROUP BY {key})"
+
 
+def _fit_sql(key: str) -> str:
+    """Relations z and, after all rounds, t3 with the best temperature per key."""
+    return ", ".join(
+        [
+            _Z,
+            _best("t0", f"SELECT {key}, exp(ln({C.LO}) + i * (ln({C.HI}) - ln({C.LO})) / {C.GRID - 1}) AS t FROM (SELECT DISTINCT {key} FROM z), range({C.GRID}) r(i)", key),
+            *(_best(f"t{k + 1}", f"SELECT {key}, best / {C.NEAR} + (best * {C.NEAR} - best / {C.NEAR}) * i / {C.FINE - 1} AS t FROM t{k}, range({C.FINE}) r(i)", key) for k in range(C.ROUNDS)),
+        ]
+    )
 
-_FIT = ", ".join(
-    [
-        _Z,
-        _best("t0", f"SELECT qtype, exp(ln({C.LO}) + i * (ln({C.HI}) - ln({C.LO})) / {C.GRID - 1}) AS t FROM (SELECT DISTINCT qtype FROM z), range({C.GRID}) r(i)"),
-        *(_best(f"t{k + 1}", f"SELECT qtype, best / {C.NEAR} + (best * {C.NEAR} - best / {C.NEAR}) * i / {C.FINE - 1} AS t FROM t{k}, range({C.FINE}) r(i)") for k in range(C.ROUNDS)),
-    ]
-)
+
+_FIT = _fit_sql("qtype")
 
 
 @query(f"WITH {_FIT} SELECT qtype, count(*) AS n, round(CASE WHEN count(*) < 10 THEN 1 ELSE greatest({C.LO}, least({C.HI}, any_value(best))) END, 4) AS t FROM z JOIN t{C.ROUNDS} USING (qtype) GROUP BY qtype")
@@ -257,7 +269,7 @@ def fit_temperature(t):
     return C.fit(_logits(t), "qtype").withColumn("t", F.round("t", 4))
 
 
-@query()
+@query(f"WITH {_fit_sql('bucket')} SELECT bucket, count(*) AS n, round(greatest({C.LO}, least({C.HI}, any_value(best))), 4) AS t FROM z JOIN t{C.ROUNDS} USING (bucket) GROUP BY bucket HAVING count(*) >= 200")
 def fit_temperature_buckets(t):
     return C.fit_both(_logits(t), 200)[1]
 

@@ -129,3 +129,40 @@ def source_ledger(t):
     for name in ("first", "second", "第三"):
         sinks.write_text(t.spark, f"{path}/{name}", name)
     return readers.ledger(t.spark, path).where(~F.col("file").startswith("."))
+
+
+@query("SELECT key, enabled, role FROM datasets")
+def source_zip(t):
+    """A hand-written list inside an archive, read back."""
+    import io
+    import json
+    import zipfile
+
+    rows = [r.asDict() for r in t.datasets.select("key", "enabled", "role").collect()]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("list.json", json.dumps(rows, ensure_ascii=False))
+        z.writestr("readme.txt", "no rows")
+    path = _place(t, "zip")
+    sinks.write_bytes(t.spark, f"{path}/list.zip", data.getvalue())
+    return readers.zipped_json(t.spark, path, "key string, enabled boolean, role string")
+
+
+@query("SELECT key, license, lang FROM datasets")
+def source_listing(t):
+    """The same as a listing by key."""
+    import json
+
+    rows = {r["key"]: {"license": r["license"], "lang": r["lang"]} for r in t.datasets.collect()}
+    path = _place(t, "listing")
+    sinks.write_text(t.spark, f"{path}/list.json", json.dumps(rows, ensure_ascii=False))
+    return readers.listing(t.spark, f"{path}/list.json", "key string, license string, lang string")
+
+
+@query("SELECT item_id, q_native.question.instructions AS value FROM probe_items WHERE q_native.question.instructions IS NOT NULL UNION ALL SELECT item_id, q_en.question.instructions FROM probe_items WHERE q_en.question.instructions IS NOT NULL")
+def nested_instructions(t):
+    """Instructions at any depth of a JSON text."""
+    from sievemill.operators.nested import instructions
+
+    j = t.probe_items.select("item_id", F.to_json(F.struct("q_native", F.array("q_en").alias("more"))).alias("j"))
+    return instructions(j, "j").select("item_id", "value")

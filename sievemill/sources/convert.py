@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import arrays as A
 from sievemill.functions import text as X
-from sievemill.functions.hashing import number, ordered, pick, uniform
+from sievemill.functions.hashing import number, ordered, pick, place, uniform
 from sievemill.operators.sampling import negatives, sample, sample_per
+from sievemill.session import spread
 
 SEED = "13"
 
@@ -49,6 +50,11 @@ Out = dict[str, Column]
 SHAPES: dict[str, Callable[[Spec, Column, Column], Out]] = {}
 
 
+def _position(gold: Column) -> Column:
+    """Place from one of the gold among the record's options, which are made in a step before."""
+    return F.array_position("_o", gold)
+
+
 def shape(f):
     SHAPES[f.__name__] = f
     return f
@@ -83,8 +89,15 @@ def _asked(template: str, arg: Column) -> Column:
 def some_of(names: tuple[str, ...], gold: Column, least: int, most: int, n: Column, u: Column) -> Column:
     """The gold and other names, least to most in all or as many as there are, in an order of their own."""
     k = F.least(F.lit(len(names)), F.lit(least) + F.floor(u * (most - least + 1)).cast("int"))
-    chosen = F.concat(F.slice(F.filter(ordered(names, n, "pick"), lambda x: x != gold), F.lit(1), k - 1), F.array(gold))
-    return F.filter(ordered(names, n, "order"), lambda x: F.array_contains(chosen, x))
+    keyed = [F.struct(F.when(F.lit(x) == gold, -1).otherwise(place(x, n, "pick")), place(x, n, "order").alias("at"), F.lit(x).alias("name")) for x in names]
+    chosen = F.slice(F.array_sort(F.array(*keyed)), F.lit(1), k)
+    return F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(x["at"], x["name"].alias("name")))), lambda x: x["name"])
+
+
+def first_but(names: tuple[str, ...], n: Column, fits: Callable[[Column], Column]) -> Column:
+    """The first fitting name in the order of negatives; null if none fits."""
+    keyed = F.array(*(F.struct(place(x, n, "negative").alias("at"), F.lit(x).alias("name")) for x in names))
+    return F.array_min(F.filter(keyed, lambda x: fits(x["name"])))["name"]
 
 
 def _of(names: tuple[str, ...], raw: Column) -> Column:
@@ -111,11 +124,11 @@ def labelled(spec: Spec, split: Column, row: Column) -> Out:
     full = (split == "test") | (u < spec.full)
     some = ~full & (u < spec.full + spec.subset)
     yes = _u(spec, split, row, "positive") < 0.5
-    other = F.get(F.filter(ordered(spec.names, n, "negative"), lambda x: x != gold), F.lit(0))
+    other = first_but(spec.names, n, lambda x: x != gold)
     asked = F.when(yes, gold).otherwise(other)
     options = F.when(full, ordered(spec.names, n, "order")).when(some, some_of(spec.names, gold, 4, 12, n, _u(spec, split, row, "k")))
     choice = full | some
-    return {"type": F.when(choice, "choice").otherwise("noul"), "question": F.when(choice, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": text, "label": F.when(choice, (F.array_position(options, gold) - 1).cast("int")).otherwise(yes.cast("int")), "view": _view("utterance", F.array(text), F.when(choice, "choice").otherwise("noul"), F.when(~choice, asked)), "units": F.array(text), "ok": (text != "") & gold.isNotNull() & asked.isNotNull()}
+    return {"type": F.when(choice, "choice").otherwise("noul"), "question": F.when(choice, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": text, "label": F.when(choice, (_position(gold) - 1).cast("int")).otherwise(yes.cast("int")), "view": _view("utterance", F.array(text), F.when(choice, "choice").otherwise("noul"), F.when(~choice, asked)), "units": F.array(text), "ok": (text != "") & gold.isNotNull() & asked.isNotNull()}
 
 
 @shape
@@ -129,10 +142,10 @@ def intents(spec: Spec, split: Column, row: Column) -> Out:
     some = ~every & (u < spec.full)
     scenario = ~every & ~some & (u < spec.full + spec.subset)
     yes = _u(spec, split, row, "positive") < 0.5
-    asked = F.when(yes, gold).otherwise(F.get(F.filter(ordered(spec.names, n, "negative"), lambda x: x != gold), F.lit(0)))
+    asked = F.when(yes, gold).otherwise(first_but(spec.names, n, lambda x: x != gold))
     options = F.when(every, ordered(spec.names, n, "order")).when(some, some_of(spec.names, gold, 4, 12, n, _u(spec, split, row, "k"))).when(scenario, ordered(spec.second, n, "scenario"))
     choice = every | some | scenario
-    label = F.when(scenario, F.array_position(options, scene)).otherwise(F.array_position(options, gold))
+    label = F.when(scenario, _position(scene)).otherwise(_position(gold))
     return {"type": F.when(choice, "choice").otherwise("noul"), "question": F.when(choice, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": text, "label": F.when(choice, F.nullif(label, F.lit(0)).cast("int") - 1).otherwise(yes.cast("int")), "view": _view("utterance", F.array(text), F.when(choice, "choice").otherwise("noul"), F.when(~choice, asked)), "units": F.array(text), "ok": (text != "") & gold.isNotNull()}
 
 
@@ -148,7 +161,7 @@ def dialogue(spec: Spec, split: Column, row: Column) -> Out:
     first = F.coalesce(domain.isNotNull() & (u < spec.full), F.lit(False))
     second = F.coalesce(~first & slot.isNotNull() & (u < spec.full + spec.subset), F.lit(False))
     options = F.when(first, ordered(spec.names, n, "order")).when(second, some_of(spec.second, slot, 3, 6, n, _u(spec, split, row, "k")))
-    label = F.when(first | second, (F.array_position(options, F.when(first, domain).otherwise(slot)) - 1).cast("int")).otherwise((F.size(slots) > 0).cast("int"))
+    label = F.when(first | second, (_position(F.when(first, domain).otherwise(slot)) - 1).cast("int")).otherwise((F.size(slots) > 0).cast("int"))
     said = ("系统：", "\n用户：") if spec.lang == "zh" else ("System: ", "\nUser: ")
     context = F.when(before.isNull(), text).otherwise(F.concat(F.lit(said[0]), before, F.lit(said[1]), text))
     q = spec.questions or (spec.question, spec.question, spec.yes_no)
@@ -161,7 +174,7 @@ def topical(spec: Spec, split: Column, row: Column) -> Out:
     text, topic, y = F.col("_a"), _of(spec.names, F.col(spec.columns["topic"])), _number(spec)
     noul = topic.isNull() | (_u(spec, split, row, "form") < spec.full)
     options = F.when(~noul, ordered(spec.names, F.col("_n"), "order"))
-    return {"type": F.when(noul, "noul").otherwise("choice"), "question": F.when(noul, F.lit(spec.yes_no)).otherwise(F.lit(spec.question)), "options": options, "context": text, "label": F.when(noul, F.when(y.isin(0, 1), y)).otherwise((F.array_position(options, topic) - 1).cast("int")), "view": _view("comment", F.array(text), F.when(noul, "noul").otherwise("choice")), "units": F.array(text), "ok": text != ""}
+    return {"type": F.when(noul, "noul").otherwise("choice"), "question": F.when(noul, F.lit(spec.yes_no)).otherwise(F.lit(spec.question)), "options": options, "context": text, "label": F.when(noul, F.when(y.isin(0, 1), y)).otherwise((_position(topic) - 1).cast("int")), "view": _view("comment", F.array(text), F.when(noul, "noul").otherwise("choice")), "units": F.array(text), "ok": text != ""}
 
 
 @shape
@@ -178,7 +191,7 @@ def paper(spec: Spec, split: Column, row: Column) -> Out:
     options = F.when(first, ordered(spec.names, n, "order")).when(second, some_of(spec.second, discipline, 4, 10, n, _u(spec, split, row, "k")))
     choice = first | second
     context = F.concat(F.lit("标题：" if spec.lang == "zh" else "Title: "), title, F.lit("\n摘要：" if spec.lang == "zh" else "\nAbstract: "), text)
-    label = F.when(choice, (F.array_position(options, F.when(first, category).otherwise(discipline)) - 1).cast("int")).otherwise(yes.cast("int"))
+    label = F.when(choice, (_position(F.when(first, category).otherwise(discipline)) - 1).cast("int")).otherwise(yes.cast("int"))
     return {"type": F.when(choice, "choice").otherwise("noul"), "question": F.when(choice, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": context, "label": label, "view": _view("abstract", F.array(title, text), F.when(choice, "choice").otherwise("noul"), F.when(~choice, asked)), "units": F.array(title, text), "ok": (text != "") & (title != "") & F.when(choice, F.when(first, category).otherwise(discipline)).otherwise(asked).isNotNull()}
 
 
@@ -241,10 +254,10 @@ def emotions(spec: Spec, split: Column, row: Column) -> Out:
     golds = F.filter(F.transform(F.col(spec.columns["labels"]), lambda x: _of(spec.names, x)), lambda x: x.isNotNull())
     full = (F.size(golds) == 1) & ((split == "test") | (_u(spec, split, row, "form") < spec.full))
     yes = _u(spec, split, row, "positive") < 0.5
-    other = F.get(F.filter(ordered(spec.names, n, "negative"), lambda x: ~F.array_contains(golds, x)), F.lit(0))
+    other = first_but(spec.names, n, lambda x: ~F.array_contains(golds, x))
     asked = F.when(yes, pick(golds, _u(spec, split, row, "which"))).otherwise(other)
     options = F.when(full, ordered(spec.names, n, "order"))
-    return {"type": F.when(full, "choice").otherwise("noul"), "question": F.when(full, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": text, "label": F.when(full, (F.array_position(options, F.get(golds, F.lit(0))) - 1).cast("int")).otherwise(yes.cast("int")), "view": _view("comment", F.array(text), F.when(full, "choice").otherwise("noul"), F.when(~full, asked)), "units": F.array(text), "ok": (text != "") & (F.size(golds) > 0) & asked.isNotNull()}
+    return {"type": F.when(full, "choice").otherwise("noul"), "question": F.when(full, F.lit(spec.question)).otherwise(_asked(spec.yes_no, asked)), "options": options, "context": text, "label": F.when(full, (_position(F.get(golds, F.lit(0))) - 1).cast("int")).otherwise(yes.cast("int")), "view": _view("comment", F.array(text), F.when(full, "choice").otherwise("noul"), F.when(~full, asked)), "units": F.array(text), "ok": (text != "") & (F.size(golds) > 0) & asked.isNotNull()}
 
 
 @shape
@@ -259,7 +272,7 @@ def valence(spec: Spec, split: Column, row: Column) -> Out:
     levels = _strings(spec.questions)
     label = F.greatest(F.lit(-1), F.least(F.lit(1), at)) + 1
     options = F.when(choice, ordered(spec.questions, F.col("_n"), "order")).otherwise(levels)
-    return {"type": F.when(choice, "choice").otherwise("score"), "question": F.lit(spec.question), "options": options, "context": text, "label": F.when(~both, F.when(choice, F.array_position(options, F.get(levels, label)) - 1).otherwise(label)).cast("int"), "view": _view("comment", F.array(text), F.when(choice, "choice").otherwise("score")), "units": F.array(text), "ok": (text != "") & (F.size(sides) > 0)}
+    return {"type": F.when(choice, "choice").otherwise("score"), "question": F.lit(spec.question), "options": options, "context": text, "label": F.when(~both, F.when(choice, _position(F.get(levels, label)) - 1).otherwise(label)).cast("int"), "view": _view("comment", F.array(text), F.when(choice, "choice").otherwise("score")), "units": F.array(text), "ok": (text != "") & (F.size(sides) > 0)}
 
 
 _TEXTS = {"pair": ("a", "b"), "labelled": ("text",), "intents": ("text",), "dialogue": ("text", "before"), "topical": ("text",), "paper": ("title", "text"), "passage": ("text", "question"), "nli": ("a", "b"), "multiple_choice": ("question", "passage"), "binned": ("text",), "rated": ("prompt", "reply"), "emotions": ("text",), "valence": ("text",)}
@@ -303,10 +316,10 @@ def convert(spec: Spec, rows: DataFrame) -> DataFrame:
     missing = [f for f in _NAMED.get(spec.shape, ()) if not getattr(spec, f)]
     if missing:
         raise ValueError(f"{spec.source}: {', '.join(missing)} must be given")
-    r = rows
+    r = spread(rows)
     for name, role in zip(("_a", "_b"), _TEXTS[spec.shape]):
         text = F.col(spec.columns[role]) if role in spec.columns else _none("string")
-        r = r.withColumn(name, (X.clean_keep_lines if spec.shape == "rated" else X.clean)(text))
+        r = r.withColumn(name, (X.clean_keep_lines if spec.shape == "rated" else X.clean)(text, once=True))
     split, row = F.col("split"), F.col("row").cast("string")
     r = r.where(split.isin("train", "dev", "test")).withColumn("_n", number(SEED, spec.source, split, row))
     if spec.shape == "rated":
@@ -325,6 +338,7 @@ def convert(spec: Spec, rows: DataFrame) -> DataFrame:
         r = keyed.join(found.withColumnRenamed("negative", "_negative"), "id", "left").drop("id")
     out = SHAPES[spec.shape](spec, split, row)
     ok = F.coalesce(out.pop("ok"), F.lit(False))
+    r, out["options"] = r.withColumn("_o", out["options"]), F.col("_o")
     tail = F.col("_tail") if spec.shape == "rated" else _none("string")
     group = F.when(split == "train", F.col(spec.columns["group"]).cast("string")) if "group" in spec.columns else _none("string")
     made = r.where(ok).select(F.concat_ws("/", F.lit(spec.source), split, row, tail).alias("id"), F.lit(spec.lang).alias("lang"), *(c.alias(k) for k, c in out.items()), F.lit(spec.source).alias("source"), split.alias("split"), group.alias("grp"))

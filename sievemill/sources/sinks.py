@@ -41,11 +41,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, there whole or not at all: written beside and renamed over in one step."""
     jvm, tmp = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
     (src, fs), (dst, _) = _fs(spark, tmp), _fs(spark, path)
     out = fs.create(src, True)
-    out.write(text.encode())
+    out.write(data)
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
