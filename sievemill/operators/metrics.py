@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sievemill.functions import arrays as A
 
@@ -130,7 +131,7 @@ def mean_ci(rows: DataFrame, value: Column, cluster: Column, *by: str) -> DataFr
     return agg.select(*by, "n", "clusters", "mean", (m - Z95 * se).alias("lo"), (m + Z95 * se).alias("hi"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact p of the discordant counts: twice the lower tail of a fair binomial, at most 1. The tail's largest term comes
     from log-gamma, the others by their ratios, so far as they count: some multiple of the deviation, whatever the counts are. One row per group."""

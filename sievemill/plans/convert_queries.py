@@ -121,7 +121,9 @@ def convert_balanced(t):
     return convert(BALANCED, rows).select("id").join(keyed, "id").select("id", "bin")
 
 
-_CHAT = f"(SELECT *, {_SPLIT} AS split FROM (SELECT DISTINCT r.message_id AS row, r.parent_id, {X.sql_clean_keep_lines('p.text')} AS kept_a, {X.sql_clean_keep_lines('r.text')} AS kept_b, {X.sql_clean('p.text')} AS a, {X.sql_clean('r.text')} AS b, p.text AS prompt, r.text AS reply, r.labels AS l, r.labels.name AS keywords FROM messages r JOIN (SELECT DISTINCT message_id, text FROM messages) p ON p.message_id = r.parent_id WHERE r.role = 'assistant') WHERE a <> '' AND b <> '')"
+_CHAT = f"(SELECT *, {_SPLIT} AS split FROM (SELECT DISTINCT r.message_id AS row, r.parent_id, {X.sql_clean_keep_lines('p.text')} AS kept_a, {X.sql_clean_keep_lines('r.text')} AS kept_b, {X.sql_clean('p.text')} AS a, {X.sql_clean('r.text')} AS b, p.text AS prompt, r.text AS reply, r.labels AS l, r.labels.name AS keywords FROM messages r JOIN (SELECT DISTINCT message_id, text FROM messages) p ON p.message_id = r.parent_id WHERE r.role = 'assistant') WHERE b <> '' AND a <> '')"
+# Where only the reply must say something.
+_REPLIES = _CHAT.replace(" AND a <> ''", "")
 
 
 def _chat(t, *columns):
@@ -168,9 +170,9 @@ def convert_nli(t):
 _HIGH = "list_transform(list_filter(list_transform(l.name, lambda x, i: {'n': x, 'v': l.value[i], 'c': l.count[i]}), lambda x: x.{0}), lambda x: x.n)"
 
 
-@query(f"""SELECT id, CASE WHEN form IS NULL THEN 'noul' ELSE 'choice' END AS type, context, options, CASE form WHEN 1 THEN list_position(options, domains[1]) - 1 WHEN 2 THEN list_position(options, slots[1]) - 1 ELSE (len(slots) > 0)::INT END AS label FROM (SELECT {_id(DIALOGUE)}, *, 'System: ' || a || chr(10) || 'User: ' || b AS context,
+@query(f"""SELECT id, CASE WHEN form IS NULL THEN 'noul' ELSE 'choice' END AS type, context, options, CASE form WHEN 1 THEN list_position(options, domains[1]) - 1 WHEN 2 THEN list_position(options, slots[1]) - 1 ELSE (len(slots) > 0)::INT END AS label FROM (SELECT {_id(DIALOGUE)}, *, CASE WHEN a = '' THEN b ELSE 'System: ' || a || chr(10) || 'User: ' || b END AS context,
 CASE form WHEN 1 THEN {_order(ATTRIBUTES, 'order')} WHEN 2 THEN {_some(ATTRIBUTES, 'slots[1]', 3, 6, 'uk')} END AS options FROM (SELECT *, CASE WHEN len(domains) = 1 AND u < 0.5 THEN 1 WHEN len(slots) = 1 AND u < 0.75 THEN 2 END AS form FROM
-(SELECT *, {_HIGH.replace('{0}', 'v >= 0.6')} AS domains, {_HIGH.replace('{0}', 'c >= 4')} AS slots, {_u(DIALOGUE, 'form')} AS u, {_u(DIALOGUE, 'k')} AS uk, {_n(DIALOGUE)} AS num FROM {_CHAT} WHERE l IS NOT NULL)))""")
+(SELECT *, {_HIGH.replace('{0}', 'v >= 0.6')} AS domains, {_HIGH.replace('{0}', 'c >= 4')} AS slots, {_u(DIALOGUE, 'form')} AS u, {_u(DIALOGUE, 'k')} AS uk, {_n(DIALOGUE)} AS num FROM {_REPLIES} WHERE l IS NOT NULL)))""")
 def convert_dialogue(t):
     high = lambda test: F.transform(F.filter(F.arrays_zip("labels.name", "labels.value", "labels.count"), test), lambda x: x["name"])
     rows = _chat(t, high(lambda x: x["value"] >= 0.6).alias("domains"), high(lambda x: x["count"] >= 4).alias("slots"))
@@ -189,13 +191,13 @@ def convert_paper(t):
 
 @query(f"""SELECT id, CASE WHEN f THEN 'choice' ELSE 'noul' END AS type, asked, CASE WHEN f THEN list_position({_order(ATTRIBUTES, 'order')}, keywords[1]) - 1 ELSE yes::INT END AS label FROM (SELECT {_id(EMOTIONS)}, *, CASE WHEN NOT f THEN any_ END AS asked FROM
 (SELECT *, len(keywords) = 1 AND (split = 'test' OR {_u(EMOTIONS, 'form')} < 0.6) AS f, CASE WHEN yes THEN keywords[1 + floor({_u(EMOTIONS, 'which')} * len(keywords))::INT] ELSE list_filter({_order(ATTRIBUTES, 'negative')}, lambda x: NOT list_contains(keywords, x))[1] END AS any_
-FROM (SELECT *, {_n(EMOTIONS)} AS num, {_u(EMOTIONS, 'positive')} < 0.5 AS yes FROM {_CHAT} WHERE len(keywords) > 0)) WHERE any_ IS NOT NULL)""")
+FROM (SELECT *, {_n(EMOTIONS)} AS num, {_u(EMOTIONS, 'positive')} < 0.5 AS yes FROM {_REPLIES} WHERE len(keywords) > 0)) WHERE any_ IS NOT NULL)""")
 def convert_emotions(t):
     return convert(EMOTIONS, _chat(t)).select("id", "type", F.col("view.arg").alias("asked"), "label")
 
 
 @query(f"""SELECT id, type, CASE type WHEN 'score' THEN y ELSE list_position({_order(VALENCE.questions, 'order')}, ['bad', 'neither', 'good'][y + 1]) - 1 END AS label FROM (SELECT {_id(VALENCE)}, *, {_n(VALENCE)} AS num, CASE WHEN {_u(VALENCE, 'form')} < 0.5 THEN 'choice' ELSE 'score' END AS type,
-1 + list_contains(keywords, 'quality')::INT - list_contains(keywords, 'humor')::INT AS y FROM {_CHAT} WHERE len(keywords) > 0 AND NOT (list_contains(keywords, 'quality') AND list_contains(keywords, 'humor')))""")
+1 + list_contains(keywords, 'quality')::INT - list_contains(keywords, 'humor')::INT AS y FROM {_REPLIES} WHERE len(keywords) > 0 AND NOT (list_contains(keywords, 'quality') AND list_contains(keywords, 'humor')))""")
 def convert_valence(t):
     return convert(VALENCE, _chat(t)).select("id", "type", "label")
 
